@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import quantiles
+from quillon.llm import hnsw, quantiles
 from quillon.plans.registry import Registry
 from quillon.session import materialise
 from quillon.sources.tables import load
@@ -49,3 +49,26 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     merged = quantiles.merge_sketches(quantiles.sketch(_stage_values(spark, folder), quantiles.GROUPS, "elapsed_ms"), quantiles.GROUPS)
     out = quantiles.bounds(merged, {"p50": 50, "p90": 90, "p95": 95, "p99": 99})
     return out.withColumn("rank_error", F.col("err")).drop("v", "g", "d", "err")
+
+
+P4_SQL = """
+WITH last AS (
+  SELECT * FROM embedding_vectors
+  QUALIFY row_number() OVER (PARTITION BY provider, model, dimension, path ORDER BY written_at DESC, vec_id DESC) = 1
+), usable AS (
+  SELECT vec_id, provider, model, dimension, list_transform(v, lambda x: coalesce(x, 0)) AS v FROM (SELECT *, TRY_CAST(vector_json AS DOUBLE[]) AS v FROM last)
+  WHERE len(v) = dimension AND len(list_filter(v, lambda x: x IS NULL)) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s
+  FROM usable a JOIN usable b ON a.provider = b.provider AND a.model = b.model AND a.dimension = b.dimension AND a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(s, 6) DESC, b.vec_id) <= 3
+)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM near WHERE s >= 0.9
+"""
+
+
+@registry.query(P4_SQL)
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors of cosine 0.9 or more, one among the three most similar of the other, by small-world graphs."""
+    vectors = hnsw.usable_vectors(load(spark, folder, "embedding_vectors"))
+    return hnsw.unordered_pairs(hnsw.nearest(vectors, hnsw.GROUP, k=3, least=0.9))
