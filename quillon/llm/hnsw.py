@@ -283,11 +283,11 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(data.to_pylist()), np.float32).reshape(len(data), -1)
 
 
-def pivots(rows: DataFrame, shard: int = SHARD, limit: int = PIVOTS) -> dict[str, np.ndarray]:
+def pivots(rows: DataFrame, spill: int = 2, shard: int = SHARD, limit: int = PIVOTS) -> dict[str, np.ndarray]:
     """Pivots of each space larger than a shard: rows in the order of a hash, so a fixed random sample, one for each
-    ``shard`` rows; no more than ``limit`` in all, shared out in proportion."""
+    ``shard`` rows as they are spread, ``spill`` times; no more than ``limit`` in all, shared out in proportion."""
     sizes = {r.space: r.n for r in rows.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > shard).orderBy(F.desc("n")).limit(limit // 2).collect()}
-    want = {s: -(-n // shard) for s, n in sizes.items()}
+    want = {s: -(-n * spill // shard) for s, n in sizes.items()}
     scale = min(1.0, limit / max(1, sum(want.values())))
     want = {s: max(2, int(k * scale)) for s, k in want.items()}
     if not want:
@@ -372,7 +372,7 @@ def _graphs(k: int, ef: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef: int = 32, spill: int = 2, shard: int = SHARD) -> DataFrame:
+def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef: int = 24, spill: int = 2, shard: int = SHARD) -> DataFrame:
     """For each row of (vec_id, unit, ``space`` columns) the ``k`` most similar other rows of the same space that the graphs
     find: vec_id_a, vec_id_b, similarity (rows below ``least`` left out). Ties go to the smaller vec_id.
 
@@ -381,14 +381,15 @@ def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef
     each other first, so a node of m copies gives at most ``k`` rows for each copy and no pairs within it beyond that.
 
     Cases: a space of one vector gives no rows; NULL in a space column is a value; an empty input gives no rows."""
-    rows = df.select("vec_id", F.to_json(F.struct(*space), {"ignoreNullFields": "false"}).alias("space"), "unit")
-    copies = rows.groupBy("space", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    nodes = materialise(copies)
-    pivot = pivots(nodes, shard)
+    rows = materialise(df.select("vec_id", F.to_json(F.struct(*space), {"ignoreNullFields": "false"}).alias("space"), "unit"))
+    copies = rows.groupBy("space", F.md5("unit").alias("digest")).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    members = materialise(rows.select("space", F.md5("unit").alias("digest"), "vec_id").join(copies, ["space", "digest"]).select("node", "vec_id"))
+    nodes = rows.join(members.where(F.col("node") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti").withColumnRenamed("vec_id", "node")
+    pivot = pivots(nodes, spill, shard)
     placed = nodes.select("space", "node", "unit").mapInArrow(_assign(pivot, spill), "space string, node bigint, unit binary, shard int")
     # shards over the limit are cut: each piece has its own graph, which the rows of the other pieces search as well
     counts = placed.groupBy("space", "shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT)
-    pieces = counts.select("space", "shard", F.ceil(F.col("n") / shard / 4).cast("int").alias("pieces"))
+    pieces = counts.select("space", "shard", F.ceil(F.col("n") / SHARD_LIMIT * 2).cast("int").alias("pieces"))
     home = F.coalesce("pieces", F.lit(1))
     own = F.pmod(F.xxhash64("node"), home).cast("int")
     spread = placed.join(pieces, ["space", "shard"], "left").withColumn("own", own).withColumn("piece", F.explode(F.sequence(F.lit(0), home - 1)))
@@ -396,27 +397,28 @@ def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef
     width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(len(p) for p in pivot.values()))
     pairs = tasks.repartition(width, "home").sortWithinPartitions("home").mapInArrow(_graphs(k, ef, least), _FOUND)
     # shards' answers merged: what another shard saw from the other side counts for both
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    best = both.withColumn("at", F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("at") <= k).drop("at")
-    return _with_copies(rows, nodes, best, k)
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "similarity")
+    best = materialise(both.groupBy("p.a", "p.b").agg(F.max("similarity").alias("similarity")))
+    best = best.withColumn("at", F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("at") <= k).drop("at")
+    return _with_copies(members, best, k)
 
 
-def _with_copies(rows: DataFrame, nodes: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """Answers of nodes turned into answers of rows. Of a node's copies the ``k + 1`` smallest ids can be answers; they
-    are found without gathering the copies: the smallest of each of many parts first."""
-    many = nodes.where(F.col("copies") > 1).select("space", "unit", "node")
-    members = rows.join(many, ["space", "unit"]).select("node", "vec_id")
+def _with_copies(members: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Answers of nodes turned into answers of rows. ``members`` has node and vec_id of all vectors that have exact
+    copies. Of a node's copies the ``k + 1`` smallest ids can be answers; they are found without gathering the
+    copies: the smallest of each of many parts first."""
     part = members.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(256)))
     lead = part.withColumn("at", F.row_number().over(W.partitionBy("node", "part").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     lead = lead.withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     heads = lead.groupBy("node").agg(F.sort_array(F.collect_list("vec_id")).alias("heads"))
-    one = lambda c: F.coalesce(c, F.array())
-    answers = best.join(heads.withColumnRenamed("node", "b"), "b", "left").select("a", "similarity", F.explode(F.slice(F.coalesce("heads", F.array("b")), 1, k)).alias("vec_id_b"))
-    listed = answers.groupBy("a").agg(F.collect_list(F.struct((-F.col("similarity")).alias("d"), F.col("vec_id_b").alias("id"))).alias("others"))
-    everyone = members.join(heads, "node").unionByName(nodes.where(F.col("copies") == 1).select("node", F.col("node").alias("vec_id"), F.lit(None).cast("array<bigint>").alias("heads")))
-    full = everyone.join(listed, F.col("node") == F.col("a"), "left")
-    copies = F.transform(F.filter(one(F.col("heads")), lambda h: h != F.col("vec_id")), lambda h: F.struct(F.lit(-1.0).cast("float").alias("d"), h.alias("id")))
-    ranked = F.slice(F.sort_array(F.concat(copies, F.coalesce("others", F.array().cast("array<struct<d:float,id:bigint>>")))), 1, k)
+    others = best.join(heads.withColumnRenamed("node", "b"), "b", "left").select("a", "similarity", F.explode(F.slice(F.coalesce("heads", F.array("b")), 1, k)).alias("id"))
+    listed = others.groupBy("a").agg(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "id")).alias("others"))
+    # every copy answers as its node does, after its fellow copies; nodes without copies answer for themselves
+    alone = listed.join(heads, F.col("a") == F.col("node"), "left_anti").select(F.col("a").alias("vec_id"), F.lit(None).cast("array<bigint>").alias("heads"), "others")
+    copied = members.join(heads, "node").join(listed, F.col("node") == F.col("a"), "left").select("vec_id", "heads", "others")
+    full = alone.unionByName(copied)
+    fellows = F.transform(F.filter(F.coalesce("heads", F.array()), lambda h: h != F.col("vec_id")), lambda h: F.struct(F.lit(-1.0).cast("float").alias("d"), h.alias("id")))
+    ranked = F.slice(F.sort_array(F.concat(fellows, F.coalesce("others", F.array().cast("array<struct<d:float,id:bigint>>")))), 1, k)
     return full.select(F.col("vec_id").alias("vec_id_a"), F.explode(ranked).alias("r")).select("vec_id_a", F.col("r.id").alias("vec_id_b"), (-F.col("r.d")).alias("similarity"))
 
 
