@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import hnsw, quantiles
+from quillon.llm import bpe, hnsw, packing, quantiles
 from quillon.plans.registry import Registry
 from quillon.session import materialise
 from quillon.sources.tables import load
@@ -72,3 +72,31 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of vectors of cosine 0.9 or more, one among the three most similar of the other, by small-world graphs."""
     vectors = hnsw.usable_vectors(load(spark, folder, "embedding_vectors"))
     return hnsw.unordered_pairs(hnsw.nearest(vectors, hnsw.GROUP, k=3, least=0.9))
+
+
+@registry.query()
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every text."""
+    return bpe.encode_texts(load(spark, folder, "documents"))
+
+
+@registry.query()
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each text comes back from its ids."""
+    documents = load(spark, folder, "documents").select("doc_id", "text")
+    back = bpe.decode_ids(bpe.encode_texts(documents)).withColumnRenamed("text", "back")
+    return documents.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+
+
+@registry.query()
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Container and place of every text or piece."""
+    return packing.pack(bpe.count_tokens(load(spark, folder, "documents")))
+
+
+@registry.query()
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers by how many tokens they hold."""
+    placed = p7_packed(spark, folder).where(F.col("container").isNotNull())
+    filled = placed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
+    return filled.groupBy("tokens").agg(F.count("*").alias("containers"), F.sum("items").alias("items"))
