@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, hnsw, packing, quantiles
+from quillon.llm import bpe, hnsw, packing, quantiles, stuffing
 from quillon.plans.registry import Registry
 from quillon.session import materialise
 from quillon.sources.tables import load
@@ -100,3 +100,15 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     placed = p7_packed(spark, folder).where(F.col("container").isNotNull())
     filled = placed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
     return filled.groupBy("tokens").agg(F.count("*").alias("containers"), F.sum("items").alias("items"))
+
+
+@registry.query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of which more than half is keywords, links, products or tags."""
+    return stuffing.stuffed(load(spark, folder, "documents")).select("doc_id")
+
+
+@registry.query()
+def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The usual compression ratio of text by script and length."""
+    return stuffing.usual_ratios(stuffing.measured_blocks(load(spark, folder, "documents")))
