@@ -35,10 +35,11 @@ def _leaf_digests(df: DataFrame) -> DataFrame:
 
 
 def changed_leaves(before: DataFrame, after: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """Leaf numbers that differ between two digested tables, found by descending from the root's children."""
+    """Leaf numbers that differ between two digested tables, found by descending from the root's children. The leaves'
+    digests are written once; all levels are made from them."""
     digest_of = lambda side: F.max(F.when(F.col("side") == side, F.xxhash64("_leaf", "digest", "n")))
     leaves = _leaf_digests(before).withColumn("side", F.lit(0)).unionByName(_leaf_digests(after).withColumn("side", F.lit(1)))
-    pairs = leaves.groupBy("_leaf").agg(digest_of(0).alias("old"), digest_of(1).alias("new"))
+    pairs = materialise(leaves.groupBy("_leaf").agg(digest_of(0).alias("old"), digest_of(1).alias("new")))
     open_nodes = None
     for depth in range(1, len(levels) + 1):
         shift = sum(levels) - sum(levels[:depth])
@@ -118,7 +119,7 @@ def versions(rows: DataFrame, entity: list[str], start: str, end: str, value: st
     first = prev.isNull() | ~same(prev) | (F.coalesce(own(prev["_at"], prev["_stop"]), at) < at)
     last = nxt.isNull() | ~same(nxt) | (until < nxt["_at"])
     df = df.withColumns({"_until": until, "_is_first": first, "_is_last": last}).where(F.col("_is_first") | F.col("_is_last"))
-    df = neighbours(df.select(*entity, "_at", "_until", "_value", "_is_first", "_is_last"), entity, "_at", ["_until"])
+    df = neighbours(materialise(df.select(*entity, "_at", "_until", "_value", "_is_first", "_is_last")), entity, "_at", ["_until"])
     return df.where("_is_first").select(
         *entity, F.col("_at").alias(start), F.when(F.col("_is_last"), F.col("_until")).otherwise(F.col("_next")["_until"]).alias(end), F.col("_value").alias(value)
     )
@@ -147,8 +148,8 @@ def statement_history(df: DataFrame, snapshots: int = 3) -> DataFrame:
     """Versions of each subject and predicate: subject, predicate, valid_from, valid_to, object_value, all text, times
     to the second in UTC, ``''`` for an open end. The number of snapshots has no bearing on the result."""
     keys = ["subject", "predicate", "start"]
-    log = statement_log(df, snapshots)
-    current = log.groupBy(*keys).agg(F.max_by("state", "snapshot").alias("state")).select(*keys, "state.stop", "state.object_value")
+    log = materialise(statement_log(df, snapshots))
+    current = materialise(log.groupBy(*keys).agg(F.max_by("state", "snapshot").alias("state")).select(*keys, "state.stop", "state.object_value"))
     out = versions(current, ["subject", "predicate"], "start", "stop", "object_value")
     return out.select(
         "subject", "predicate", format_seconds(F.col("start")).alias("valid_from"), F.coalesce(format_seconds(F.col("stop")), F.lit("")).alias("valid_to"), "object_value"
