@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.operators.nested import Shape, infer_shape, kind_of, read_object
+from quillon.session import materialise
 
 TYPES = ("string", "number", "boolean", "array")
 #: Values kept for each path, those with the smallest hashes: a bottom-k sketch, which merges exactly.
@@ -72,7 +73,7 @@ def file_profiles(df: DataFrame) -> DataFrame:
     parts = df.select("producer", "file_seq", "source_file", "payload").mapInArrow(_profiles, _PROFILE)
     sums = parts.groupBy("producer", "file_seq", "source_file", "path").agg(*[F.sum(c).alias(c) for c in ("objects", *TYPES)])
     of_file = W.partitionBy("producer", "file_seq", "source_file")
-    return sums.withColumn("objects", F.max("objects").over(of_file))
+    return materialise(sums.withColumn("objects", F.max("objects").over(of_file)))
 
 
 def _held(profiles: DataFrame, share: float) -> DataFrame:
@@ -164,7 +165,7 @@ def value_sketches(df: DataFrame, wanted: DataFrame) -> DataFrame:
     of_path = W.partitionBy("producer", "file_seq", "path", "kind")
     least = sums.withColumn("at", F.row_number().over(of_path.orderBy("feature"))).where(F.col("at") <= SKETCH)
     total = F.sum("n").over(of_path)
-    return least.select("producer", "file_seq", "path", "kind", "feature", (F.col("n") / total).alias("share"), (F.count("*").over(of_path) / total).alias("distinct"))
+    return materialise(least.select("producer", "file_seq", "path", "kind", "feature", (F.col("n") / total).alias("share"), (F.count("*").over(of_path) / total).alias("distinct")))
 
 
 def rename_scores(df: DataFrame, changes: DataFrame) -> DataFrame:
@@ -211,8 +212,8 @@ def file_changes(df: DataFrame, share: float = 0.2, least: float = 0.3) -> DataF
     """source_file, change_kind (added, removed, retyped, renamed), old_path, new_path: each change of a file's layout
     from the producer's file numbered one lower. ``share`` is the part of a file's objects that must hold a path,
     ``least`` the likeness from which a removed and an added path count as one renamed."""
-    changes = layout_changes(file_profiles(df), share)
-    renamed = match_renames(rename_scores(df, changes), least)
+    changes = materialise(layout_changes(file_profiles(df), share))
+    renamed = materialise(match_renames(rename_scores(df, changes), least))
     at = ["producer", "file_seq"]
     both = F.col("old_type").isNotNull() & F.col("new_type").isNotNull()
     files = changes.groupBy(*at).agg(F.max("source_file").alias("source_file"))
