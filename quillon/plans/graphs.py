@@ -140,10 +140,10 @@ def import_depth(spark: SparkSession, folder: str) -> DataFrame:
     return G.depth_centrality(*_thin(spark, folder))
 
 
-@registry.query(_REACH.format(trade=TRADE_SQL, thin="thin AS (SELECT dst AS src, src AS dst FROM edges WHERE dst > src AND dst - src <= 6)", depth=3) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM best WHERE start IN (20, 21) AND node NOT IN (20, 21) GROUP BY 1 ORDER BY 2, 1 LIMIT 12")
+@registry.query(_REACH.format(trade=TRADE_SQL, thin="thin AS (SELECT dst AS src, src AS dst FROM edges)", depth=2) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM best WHERE start IN (1, 2) AND node NOT IN (1, 2) GROUP BY 1 ORDER BY 2, 1 LIMIT 12")
 def reverse_dependencies(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, edges = _thin(spark, folder)
-    return G.reverse_dependents(nodes.where(F.col("node").isin(20, 21)), edges, 3, 12)
+    nodes, edges = trade(spark, folder)
+    return G.reverse_dependents(nodes.where(F.col("node").isin(1, 2)), edges, 2, 12)
 
 
 @registry.query(_REACH.format(trade=TRADE_SQL, thin=_THIN, depth=2) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM best WHERE start IN (1, 2) AND node NOT IN (1, 2) GROUP BY 1 ORDER BY 2, 1 LIMIT 6")
