@@ -193,7 +193,7 @@ class Tables:
         names = [n for n in last.lstrip(".").split(".") if n]
         rows, shape = self._nodes(outer)
         for name in names:
-            shape = shape.fields[name]
+            shape = shape.fields.get(name, Shape())
         value = self._elements(self._field(F.col("_node"), names), shape)
         opened = rows.select("_root", F.col("_key").alias("_parent"), "_pos", F.posexplode(value).alias("_at", "_node"))
         opened = opened.where(~F.is_variant_null("_node") if self._variant else F.col("_node").isNotNull())
@@ -201,8 +201,8 @@ class Tables:
         return opened.select("_root", "_parent", key.alias("_key"), F.concat("_pos", F.array("_at")).alias("_pos"), "_node"), shape.element or Shape()
 
     def table(self, path: str = "") -> DataFrame:
-        """The flat table of an array path as listed in ``paths``. ``_pos`` is the place in its own array, ``_above``
-        the places of the arrays around it, outermost first."""
+        """The flat table of an array path as listed in ``paths``; a path that no document has gives an empty table.
+        ``_pos`` is the place in its own array, ``_above`` the places of the arrays around it, outermost first."""
         rows, shape = self._nodes(path)
         leaves: list[Column] = []
         self._leaves(F.col("_node"), shape, [], leaves)

@@ -182,7 +182,7 @@ def select_initial(files: DataFrame, terms: list[str], ranker: str, min_score: f
         ranker = "heuristic"
     steps = [lambda: rank_files(files, terms, ranker, top_k).where(F.col("score") >= min_score), lambda: rank_files(files, terms, ranker, top_k).where(F.col("score") >= 1), lambda: heuristic(files, terms, 1e-9)]
     for step in steps:
-        found = step()
+        found = step().select("path", "score")
         if found.take(1):
             return found
     return heuristic(files, [])
