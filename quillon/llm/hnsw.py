@@ -270,12 +270,12 @@ GROUP = ["provider", "model", "dimension"]
 
 def usable_vectors(df: DataFrame) -> DataFrame:
     """vec_id, provider, model, dimension, unit (float32 bytes): of each natural key the row last written (ties: the
-    greatest vec_id), if its vector can be used. NULL parts of a key are values like others."""
+    greatest vec_id), if its vector can be used and it has a vec_id. NULL parts of a key are values like others."""
     read = df.select("vector_json", "dimension", "provider", "model", "path", "vec_id", "written_at").mapInArrow(
         _read, "dimension int, provider string, model string, path string, vec_id bigint, written_at timestamp, unit binary"
     )
     last = read.groupBy(*KEY).agg(F.max(F.struct("written_at", "vec_id", "unit")).alias("last"))
-    return last.select("last.vec_id", *GROUP, "last.unit").where(F.col("unit").isNotNull())
+    return last.select("last.vec_id", *GROUP, "last.unit").where(F.col("unit").isNotNull() & F.col("vec_id").isNotNull())
 
 
 def _as_matrix(column: pa.Array) -> np.ndarray:
