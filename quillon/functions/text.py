@@ -61,7 +61,7 @@ def normal_path(c: Column, strip_leading_slash: bool = False) -> Column:
 
 def tail_symbol(c: Column) -> Column:
     """The last non-empty part of a dotted or slashed name."""
-    parts = F.filter(F.transform(F.split(F.translate(text(c), "/", "."), r"\."), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.translate(text(c), "/", "."), r"\."), lambda p: F.trim(p)), lambda p: p != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
 
@@ -105,7 +105,7 @@ def first_rule(c: Column, rules: list[tuple[str, list[str]]], default: str) -> C
 
 def snippet(c: Column, query: list[str], limit: int = 240) -> Column:
     """The first non-empty line with a query token, else the first non-empty line, cut to ``limit`` characters."""
-    lines = F.filter(F.transform(F.split(text(c), "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text(c), "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     has = F.filter(lines, lambda x: F.exists(F.array(*[F.lit(q) for q in query]), lambda q: F.contains(ascii_lower(x), q)))
     return F.substring(F.coalesce(F.try_element_at(has, F.lit(1)), F.try_element_at(lines, F.lit(1)), F.lit("")), 1, limit)
 

@@ -43,6 +43,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 12, weighted: boo
     n = nodes.count()
     if n <= 1:
         return nodes.select("node", F.lit(1.0).alias("rank"))
+    edges = materialise(edges.select("src", "dst", "weight"))
     known = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     parts = materialise(_parts(known, weighted))
     seed = F.when(F.col("node").isin(seeds), 1.0 / len(seeds)).otherwise(0.0) if seeds else F.lit(1.0 / n)

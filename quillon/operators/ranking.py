@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.text import ascii_lower, code_tokens, glob_regex, signal, text, words
+from quillon.session import materialise
 
 # The weights of the scores.
 PATH_EXACT, PATH_CONTAINS = 3.0, 2.0
@@ -61,7 +62,7 @@ def bm25(df: DataFrame, key: str, tokens: str, terms: list[str], min_score: floa
     """``key``, ``score`` and ``matched`` of each document with tokens. Documents without tokens don't count, terms aren't
     de-duplicated, scores below ``min_score`` are dropped. NULL tokens are no tokens."""
     docs = df.select(F.col(key), F.size(tokens).alias("_len"), *[F.size(F.filter(tokens, equals(q))).cast("double").alias(f"_tf{i}") for i, q in enumerate(terms)], *([path.alias("_path")] if path is not None else []), *([tier.alias("_tier")] if tier is not None else []))
-    docs = docs.where(F.col("_len") > 0)
+    docs = materialise(docs.where(F.col("_len") > 0))  # a few numbers for each text: it is tokenised once
     n = len(terms)
     stats = docs.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(n)]).alias("s")).scalar()
     docs = docs.withColumn("_s", stats)

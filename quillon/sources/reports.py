@@ -106,7 +106,7 @@ def baseline_metrics(spark: SparkSession, path: str) -> DataFrame:
 def front_matter(spark: SparkSession, path: str) -> DataFrame:
     """name, intents, modules, errors, topics, description, priority of skill files: the lines ``key: value`` or
     ``key: [a, b]`` between the first two ``---``."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1).alias("m"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1).alias("m"))
     one = lambda k: F.regexp_extract("m", rf"(?m)^{k}:\s*(.+?)\s*$", 1)
     many = lambda k: F.filter(F.split(F.regexp_replace(one(k), r"[\[\]\"']", ""), r"\s*,\s*"), lambda x: x != "")
     return text.where(F.col("m") != "").select(one("name").alias("name"), many("intents").alias("intents"), many("modules").alias("modules"), many("error_keywords").alias("errors"), many("topics").alias("topics"), one("description").alias("description"), F.coalesce(one("priority").try_cast("int"), F.lit(0)).alias("priority"))
