@@ -143,7 +143,7 @@ def conflict(a: Column, b: Column, same_shape: Column, least: float = 0.0) -> Co
 
 def greedy_distinct(rows: DataFrame, key: str, group: str, tokens: str, threshold: float, pool: int = 512) -> DataFrame:
     """Within each group, rows in order of score, key that are less like all kept ones than ``threshold`` (Jaccard of token
-    sets): key, kept. Only the best ``pool`` rows of a group are compared; the others are not kept."""
+    sets): key, kept. Rows without tokens are like none. Only the best ``pool`` rows of a group are compared; the others are not kept."""
     place = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), key))
     short = rows.select(key, group, "score", F.col(tokens).alias("_t")).withColumn("_n", place).where(F.col("_n") <= pool)
 
@@ -152,7 +152,7 @@ def greedy_distinct(rows: DataFrame, key: str, group: str, tokens: str, threshol
         flags = []
         part = part.sort_values("_n")
         for t in part["_t"]:
-            t = set(t)
+            t = set() if t is None else set(t)
             ok = all(not t or not o or len(t & o) / len(t | o) < threshold for o in kept)
             flags.append(ok)
             if ok:
