@@ -146,3 +146,55 @@ def tuning(metrics: dict[str, float]) -> dict[str, object]:
     if metrics.get("precision_mean", 1.0) < 0.64:
         out["candidate_ranker"] = "rrf_hybrid"
     return out
+
+
+def router_arms(rows: DataFrame, arm: str, trace: str | None = None) -> DataFrame:
+    """By non-empty arm: cases, mean success and reciprocal rank, p95 latency, and cases with a fallback or downgrade event in
+    the trace (an array of structs with ``action``)."""
+    some = rows.where(F.coalesce(F.trim(arm), F.lit("")) != "")
+    aggs = [F.count("*").alias("cases"), F.round(F.avg("success"), 6).alias("success"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), p95("latency_ms").alias("p95")]
+    if trace:
+        has = lambda a: F.coalesce(F.exists(trace, lambda e: e["action"] == a), F.lit(False))
+        aggs += [F.count_if(has("fallback")).alias("fallback_cases"), F.count_if(has("downgrade")).alias("downgrade_cases")]
+    return some.groupBy(arm).agg(*aggs)
+
+
+def insufficiency(rows: DataFrame) -> DataFrame:
+    """Of the failed cases that aren't negative controls: how many lack evidence, by reason ('' for all of them)."""
+    applicable = rows.where((F.coalesce(F.lower(F.trim("mode")), F.lit("positive")) != "negative_control") & (F.coalesce("success", F.lit(0.0)) <= 0))
+    lacking = F.coalesce("insufficient", F.lit(0.0)) > 0
+    total = applicable.agg(F.count("*").alias("applicable"), F.count_if(lacking).alias("n")).select(F.lit("").alias("reason"), "applicable", "n")
+    by = applicable.where(lacking & (F.coalesce(F.trim("reason"), F.lit("")) != "")).groupBy("reason").agg(F.count("*").alias("applicable"), F.count("*").alias("n"))
+    return total.unionByName(by).withColumn("rate", F.round(F.col("n") / F.greatest(F.lit(1), F.col("applicable")), 6))
+
+
+def trace_events(rows: DataFrame, trace: str) -> DataFrame:
+    """Decision events by action, target and reason: action, target, reason, n."""
+    e = rows.select(F.explode(trace).alias("e")).select("e.*")
+    return e.groupBy(*[F.coalesce(c, F.lit("(unknown)")).alias(c) for c in ("action", "target", "reason")]).agg(F.count("*").alias("n"))
+
+
+def aggregate_all(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """All numeric columns by their names: times (``_ms``) get mean, median and p95, ids nothing, the rest a mean; booleans a
+    rate. The catalogue of aggregate metrics follows from the columns a case row has."""
+    aggs = [F.count("*").alias("cases")]
+    for c, t in rows.dtypes:
+        if c in by or c.endswith("_id"):
+            continue
+        if t == "boolean":
+            aggs.append(F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_rate"))
+        elif t in ("double", "float", "int", "bigint"):
+            aggs.append(F.round(F.avg(c), 6).alias(f"{c}_mean"))
+            if c.endswith("_ms"):
+                aggs += [F.round(F.median(c), 6).alias(f"{c}_median"), p95(c).alias(f"{c}_p95")]
+    return rows.groupBy(*by).agg(*aggs)
+
+
+def micro_gate(current: dict[str, float], baseline: dict[str, float], speedup: float = 1.0, memory_growth: float = 1.1) -> dict[str, bool]:
+    """Checks of a micro-benchmark: time and memory against a baseline."""
+    out = {}
+    if baseline.get("avg_ms", 0) > 0:
+        out["time"] = baseline["avg_ms"] / max(current["avg_ms"], 1e-9) >= speedup
+    if baseline.get("memory_mb", 0) > 0:
+        out["memory"] = current["memory_mb"] <= baseline["memory_mb"] * memory_growth
+    return out

@@ -343,3 +343,25 @@ def streaming_rollup(spark: SparkSession, folder: str) -> DataFrame:
     out = spark.read.parquet(f"{base}/out")
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros("w.start") / F.lit(86_400_000_000)).cast("int"))
     return out.select(day.alias("day"), "event_type", "n", F.round("total", 4).alias("total"), "least", "most")
+
+
+@registry.query("SELECT status, count(*) AS cases, round(avg(CASE WHEN plan_replay_hit THEN 1.0 ELSE 0 END), 6) AS success, round(avg(1.0 / (1 + len(degraded_reason_codes))), 6) AS mrr, quantile_disc(total_latency_ms, 0.95) AS p95 FROM runtime_invocations WHERE trim(status) <> '' GROUP BY 1")
+def router_arms(spark: SparkSession, folder: str) -> DataFrame:
+    r = load(spark, folder, "runtime_invocations")
+    rows = r.select("status", F.when(F.col("plan_replay_hit"), 1.0).otherwise(0.0).alias("success"), (F.lit(1.0) / (F.lit(1) + F.size("degraded_reason_codes"))).alias("reciprocal_rank"), F.col("total_latency_ms").alias("latency_ms"))
+    return E.router_arms(rows, "status")
+
+
+@registry.query("""WITH a AS (SELECT coalesce(contract_error_code, '') AS reason, len(degraded_reason_codes) > 0 AS lacking FROM runtime_invocations WHERE event_class <> 'negative_control' AND status <> 'ok')
+  SELECT '' AS reason, count(*) AS applicable, count(*) FILTER (WHERE lacking) AS n, round(count(*) FILTER (WHERE lacking) / greatest(1, count(*)), 6) AS rate FROM a
+  UNION ALL SELECT reason, count(*), count(*), 1.0 FROM a WHERE lacking AND reason <> '' GROUP BY 1""")
+def evidence_insufficiency(spark: SparkSession, folder: str) -> DataFrame:
+    r = load(spark, folder, "runtime_invocations").where(F.col("event_class").isNotNull() & F.col("status").isNotNull())
+    rows = r.select(F.col("event_class").alias("mode"), F.when(F.col("status") == "ok", 1.0).otherwise(0.0).alias("success"), F.when(F.size("degraded_reason_codes") > 0, 1.0).otherwise(0.0).alias("insufficient"), F.col("contract_error_code").alias("reason"))
+    return E.insufficiency(rows)
+
+
+@registry.query("SELECT event_class, count(*) AS cases, round(avg(CAST(plan_replay_hit AS INT)), 6) AS plan_replay_hit_rate, round(avg(CAST(trace_exported AS INT)), 6) AS trace_exported_rate, round(avg(total_latency_ms), 6) AS total_latency_ms_mean, round(median(total_latency_ms), 6) AS total_latency_ms_median, quantile_disc(total_latency_ms, 0.95) AS total_latency_ms_p95 FROM runtime_invocations GROUP BY 1")
+def aggregate_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    r = load(spark, folder, "runtime_invocations").select("event_class", "invocation_id", "plan_replay_hit", "trace_exported", "total_latency_ms")
+    return E.aggregate_all(r, ["event_class"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import chunks as C
+from quillon.operators import planning as P
 from quillon.operators import ranking as R
 from quillon.operators import vector as V
 from quillon.plans.adapters import CHUNKS_SQL, FILES_SQL, PARTS_SQL, chunks, files, low, parts, words_sql
@@ -508,3 +509,27 @@ def token_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     q = F.array(F.lit("src"), F.lit("lib"), F.lit("py"))
     w = T.word_set(F.col("path"))
     return load(spark, folder, "documents").select("doc_id", F.round(T.jaccard(w, q), 6).alias("jaccard"), F.round(T.overlap(q, w), 6).alias("overlap"))
+
+
+# --- plans
+
+
+@registry.query(f"""WITH {FILES_SQL} SELECT path, CASE WHEN regexp_matches({low('path')}, '^docs?/') THEN 'docs' WHEN regexp_matches({low('path')}, '^tests?/') THEN 'tests' WHEN regexp_matches({low('path')}, '\\.(md|mdx|rst)$') THEN 'markdown' ELSE 'code' END AS domain,
+  round(len(symbols) + CASE WHEN contains({low("path || ' ' || module")}, 'table') THEN 5.0 ELSE 0 END + CASE WHEN contains({low("path || ' ' || module")}, 'score') THEN 5.0 ELSE 0 END + CASE WHEN regexp_matches({low('path')}, '^docs?/') THEN 2.0 WHEN regexp_matches({low('path')}, '^tests?/') THEN -1.0 ELSE 0 END, 6) AS score FROM files""")
+def quick_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Files by their symbols, the query's tokens in their names, and boosts of their domain."""
+    f = files(spark, folder).select("path", "module", F.size("symbols").cast("double").alias("score"))
+    return P.quick_scores(f, "table score", {"docs": 2.0, "tests": -1.0}).select("path", P.domain(F.col("path")).alias("domain"), "score")
+
+
+@registry.query(f"""WITH {CHUNKS_SQL}, t AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY score DESC NULLS LAST, path, qualified_name) <= 5)
+  SELECT src, dst, kind, max(weight) AS weight FROM (SELECT 'query:' || CAST(plan_id AS VARCHAR) AS src, 'file:' || path AS dst, 'candidate' AS kind, coalesce(score, 0) AS weight FROM t
+  UNION ALL SELECT 'file:' || path, 'chunk:' || path || ':' || qualified_name, 'contains', 1.0 FROM t) GROUP BY 1, 2, 3""")
+def plan_view(spark: SparkSession, folder: str) -> DataFrame:
+    return P.plan_view(chunks(spark, folder), 5)
+
+
+@registry.query()
+def chunk_guard(spark: SparkSession, folder: str) -> DataFrame:
+    s = _scored(spark, folder).select(F.concat_ws("#", "path", "lineno", "qualified_name").alias("key"), "score", T.code_tokens(F.col("qualified_name")).alias("t"), C.signature(F.col("path"), F.col("qualified_name"), F.col("kind"), F.lit("")).alias("shape"))
+    return P.chunk_guard(s, "key", "t", "shape", 2.0, 1.0)
