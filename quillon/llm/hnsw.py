@@ -395,7 +395,7 @@ def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef
     spread = placed.join(pieces, ["space", "shard"], "left").withColumn("own", own).withColumn("piece", F.explode(F.sequence(F.lit(0), home - 1)))
     tasks = spread.select(F.xxhash64("space", "shard", "piece").alias("home"), "node", "unit", (F.col("piece") == F.col("own")).alias("inside"))
     width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(len(p) for p in pivot.values()))
-    pairs = tasks.repartition(width, "home").sortWithinPartitions("home").mapInArrow(_graphs(k, ef, least), _FOUND)
+    pairs = tasks.repartition(width, "home").sortWithinPartitions("home", "node").mapInArrow(_graphs(k, ef, least), _FOUND)
     # shards' answers merged: what another shard saw from the other side counts for both
     both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "similarity")
     best = materialise(both.groupBy("p.a", "p.b").agg(F.max("similarity").alias("similarity")))
