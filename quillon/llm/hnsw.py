@@ -3,8 +3,7 @@
 ``Graph`` holds the layers as flat neighbour arrays (node times slots, int32) and works on many points at once: inserts go
 in batches whose points search the graph so far together, step by step, by array operations.
 
-``nearest`` spreads the vectors over shards by their most similar pivots and gives each vector to its ``spill`` most
-similar ones, builds a graph for each shard and merges the shards' answers. Exact copies are searched for once.
+``nearest`` spreads the vectors over shards by their most similar pivots, those near a border to several, builds a graph for each shard and merges the shards' answers. Exact copies are searched for once.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from quillon.session import materialise
 #: Vectors in a shard, in the mean; a shard of more than ``SHARD_LIMIT`` is cut into several that are all searched.
 SHARD = 2048
 SHARD_LIMIT = 8 * SHARD
-#: Pivots in all: their vectors go to every task, so this bounds what is broadcast (16,384 vectors).
-PIVOTS = 16_384
+#: Pivots in all: their vectors go to every task, so this bounds what is broadcast.
+PIVOTS = 4096
+#: Vectors of the sample to which the pivots are fitted, in all, and rounds of fitting.
+SAMPLE, ROUNDS = 65_536, 8
 
 
 class Graph:
@@ -219,9 +220,10 @@ class Graph:
             out_sims.append(sims)
         return np.concatenate(out_ids), np.concatenate(out_sims)
 
-    def neighbours(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every node the ``k`` best of all the nodes that it met, or that met it, while the graph was built:
-        node, other, similarity, ordered by node and similarity."""
+    def neighbours(self, k: int, least: float = -2.0, wide: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every node the ``k`` best of the nodes that it met, or that met it, while the graph was built, and of the
+        ``wide`` best of each of its own ``wide`` best: node, other, similarity, ordered by node and similarity. Nodes whose
+        best is below ``least`` aren't looked at again."""
         if not self.pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         a, b, s = (np.concatenate(x) for x in zip(*self.pairs))
@@ -232,8 +234,31 @@ class Graph:
         src, dst, sim = src[order], dst[order], sim[order]
         first = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
         place = np.arange(len(src)) - np.repeat(first, np.diff(np.append(first, len(src))))
-        ok = place < k
-        return self.order[src[ok]], self.order[dst[ok]], sim[ok]
+        wide = max(wide, k)
+        ok = place < wide
+        near = np.full((self.n, wide), -1, np.int64)
+        near[src[ok], place[ok]] = dst[ok]
+        best = np.full(self.n, -2, np.float32)
+        best[src[first]] = sim[first]
+        out = []
+        nodes = np.flatnonzero(best >= least)
+        for at in range(0, len(nodes), self.batch):
+            rows = nodes[at : at + self.batch]
+            own = near[rows]
+            more = np.where(own[:, :, None] >= 0, near[own], -1).reshape(len(rows), -1)
+            cand = np.sort(np.concatenate([own, more], 1), axis=1)
+            bad = (cand < 0) | (cand == rows[:, None])
+            bad[:, 1:] |= cand[:, 1:] == cand[:, :-1]
+            sims = np.einsum("bkd,bd->bk", self.y[cand], self.y[rows])
+            sims[bad] = -2
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            sims, cand = np.take_along_axis(sims, top, 1), np.take_along_axis(cand, top, 1)
+            row, col = np.nonzero(sims > -2)
+            out.append((rows[row], cand[row, col], sims[row, col]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        src, dst, sim = (np.concatenate(x) for x in zip(*out))
+        return self.order[src], self.order[dst], sim
 
 
 def read_vector(text: str | None, dimension: int | None) -> np.ndarray | None:
@@ -283,45 +308,59 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(data.to_pylist()), np.float32).reshape(len(data), -1)
 
 
-def pivots(rows: DataFrame, spill: int = 2, shard: int = SHARD, limit: int = PIVOTS) -> dict[str, np.ndarray]:
-    """Pivots of each space larger than a shard: rows in the order of a hash, so a fixed random sample, one for each
-    ``shard`` rows as they are spread, ``spill`` times; no more than ``limit`` in all, shared out in proportion."""
+def fit(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """``k`` unit vectors in the middle of the sample's clusters, by Lloyd's rounds from its first ``k`` vectors."""
+    middle = sample[:k].copy()
+    for _ in range(rounds):
+        label = np.concatenate([(sample[i : i + 4096] @ middle.T).argmax(1) for i in range(0, len(sample), 4096)])
+        sums = np.zeros_like(middle)
+        np.add.at(sums, label, sample)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        middle = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), middle).astype(np.float32)
+    return middle
+
+
+def pivots(rows: DataFrame, shard: int = SHARD, limit: int = PIVOTS) -> dict[str, np.ndarray]:
+    """Pivots of each space larger than a shard, one for each ``shard`` places, no more than ``limit`` in all, shared out in
+    proportion. They are fitted to a fixed random sample (by hash) of 32 vectors for each, at most ``SAMPLE`` in all: that is
+    all that reaches the driver. Every vector is indexed, whether in the sample or not."""
     sizes = {r.space: r.n for r in rows.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > shard).orderBy(F.desc("n")).limit(limit // 2).collect()}
-    want = {s: -(-n * spill // shard) for s, n in sizes.items()}
+    want = {s: -(-n * 3 // (2 * shard)) for s, n in sizes.items()}
     scale = min(1.0, limit / max(1, sum(want.values())))
     want = {s: max(2, int(k * scale)) for s, k in want.items()}
     if not want:
         return {}
-    spark = rows.sparkSession
-    # of every row a hash; the smallest of each space are taken, about as many as wanted
-    table = spark.createDataFrame([(s, (2.0 * k + 20) / sizes[s]) for s, k in want.items()], "space string, part double")
+    each = min(32.0, SAMPLE / sum(want.values()))
+    table = rows.sparkSession.createDataFrame([(s, (each * k + 20) / sizes[s]) for s, k in want.items()], "space string, part double")
     share = (F.xxhash64("unit", F.lit(3)).cast("double") / F.lit(2.0**64)) + 0.5
     some = rows.join(F.broadcast(table), "space").where(share < F.col("part")).select("space", "unit").distinct()
     found: dict[str, list] = {}
     for r in some.orderBy("space", F.xxhash64("unit", F.lit(3))).collect():
         found.setdefault(r.space, []).append(np.frombuffer(r.unit, np.float32))
-    return {s: np.stack(v[: want[s]]) for s, v in found.items()}
+    return {s: fit(np.stack(v), min(want[s], len(v))) for s, v in found.items()}
 
 
-def _assign(pivot: dict[str, np.ndarray], spill: int):
+def _assign(pivot: dict[str, np.ndarray], margin: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spaces = batch.column(0).to_pylist()
             take, shard = [], []
             by: dict[str, list[int]] = {}
-            for i, s in enumerate(spaces):
+            for i, s in enumerate(batch.column(0).to_pylist()):
                 by.setdefault(s, []).append(i)
             for s, at in by.items():
                 p = pivot.get(s)
-                k = 1 if p is None else min(spill, len(p))
-                take.append(np.repeat(at, k))
                 if p is None:
+                    take.append(np.array(at))
                     shard.append(np.zeros(len(at), np.int32))
-                else:
-                    sims = _as_matrix(batch.column(2).take(pa.array(at))) @ p.T
-                    shard.append(np.argpartition(-sims, k - 1, axis=1)[:, :k].astype(np.int32).ravel())
+                    continue
+                sims = _as_matrix(batch.column(2).take(pa.array(at))) @ p.T
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+                sims = np.take_along_axis(sims, best, 1)
+                row, col = np.nonzero(sims >= sims[:, :1] - margin)
+                take.append(np.array(at)[row])
+                shard.append(best[row, col].astype(np.int32))
             out = batch.take(pa.array(np.concatenate(take)))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(shard), pa.int32())], [*batch.schema.names, "shard"])
 
@@ -338,7 +377,7 @@ def _graphs(k: int, ef: int, least: float):
         inside = table.column("inside").to_numpy(zero_copy_only=False).astype(bool)
         at = np.flatnonzero(inside)
         graph = Graph(x[at], ef=ef)
-        a, b, s = graph.neighbours(k)
+        a, b, s = graph.neighbours(k, least)
         a, b = ids[at[a]], ids[at[b]]
         guests = np.flatnonzero(~inside)
         if len(guests):
@@ -372,12 +411,13 @@ def _graphs(k: int, ef: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef: int = 24, spill: int = 2, shard: int = SHARD) -> DataFrame:
+def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef: int = 24, margin: float = 0.08, most: int = 4, shard: int = SHARD) -> DataFrame:
     """For each row of (vec_id, unit, ``space`` columns) the ``k`` most similar other rows of the same space that the graphs
     find: vec_id_a, vec_id_b, similarity (rows below ``least`` left out). Ties go to the smaller vec_id.
 
-    ``ef`` is the breadth of the graph search, ``spill`` the number of shards that take each vector, ``shard`` their mean
-    size; more of each means better recall. Vectors that are exact copies are one node; the copies of a node answer for
+    ``ef`` is the breadth of the graph search; a vector goes to the shard of its most similar pivot and to those whose
+    pivots are less similar by at most ``margin``, ``most`` in all; ``shard`` is about their mean size. More of each means
+    better recall. Vectors that are exact copies are one node; the copies of a node answer for
     each other first, so a node of m copies gives at most ``k`` rows for each copy and no pairs within it beyond that.
 
     Cases: a space of one vector gives no rows; NULL in a space column is a value; an empty input gives no rows."""
@@ -385,8 +425,8 @@ def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef
     copies = rows.groupBy("space", F.md5("unit").alias("digest")).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     members = materialise(rows.select("space", F.md5("unit").alias("digest"), "vec_id").join(copies, ["space", "digest"]).select("node", "vec_id"))
     nodes = rows.join(members.where(F.col("node") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti").withColumnRenamed("vec_id", "node")
-    pivot = pivots(nodes, spill, shard)
-    placed = nodes.select("space", "node", "unit").mapInArrow(_assign(pivot, spill), "space string, node bigint, unit binary, shard int")
+    pivot = pivots(nodes, shard)
+    placed = nodes.select("space", "node", "unit").mapInArrow(_assign(pivot, margin, most), "space string, node bigint, unit binary, shard int")
     # shards over the limit are cut: each piece has its own graph, which the rows of the other pieces search as well
     counts = placed.groupBy("space", "shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT)
     pieces = counts.select("space", "shard", F.ceil(F.col("n") / SHARD_LIMIT * 2).cast("int").alias("pieces"))
