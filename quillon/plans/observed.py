@@ -11,7 +11,9 @@ from quillon.operators import memory as M
 from quillon.operators import telemetry as O
 from quillon.plans.adapters import words_sql
 from quillon.plans.registry import Registry
+from quillon.session import shared_path
 from quillon.sources.tables import load
+from quillon.streaming import rollup
 
 registry = Registry()
 NOW = "2024-02-01T00:00:00Z"
@@ -332,12 +334,7 @@ def workspace_benchmark(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1) GROUP BY 1, 2")
 def streaming_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """The daily roll-up made by a stream over the events' files that processes what is there."""
-    import uuid
-
-    from quillon.session import shared_dir
-    from quillon.streaming import rollup
-
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     events = rollup.read_events(spark, f"{folder}/events.parque[t]")  # a pattern, as the table may be one file
     rollup.run_once(rollup.event_rollup(events), f"{base}/out", f"{base}/state")
     out = spark.read.parquet(f"{base}/out")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,11 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_WRITTEN: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there is removed when the driver's process ends, as far as it can be."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+@atexit.register
+def release() -> None:
+    """Remove the tables that this process wrote to a shared folder that is mounted here."""
+    while _WRITTEN:
+        shutil.rmtree(_WRITTEN.pop().removeprefix("file://"), ignore_errors=True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and the files
-    survive the loss of executors."""
+    survive the loss of executors. They stay until the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    path = shared_path(spark, "quillon")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 import json
 import re
+import uuid
 from datetime import datetime, timezone
 
 import pytest
@@ -239,7 +240,7 @@ def test_pipeline(spark):
     c.register("empty", lambda s: s.range(0), aliases=("none",))
     c.register("full", lambda s: s.range(2))
     assert c.read(spark, "NONE", "full").count() == 2
-    cache, made = ResultCache(spark), []
+    cache, made = ResultCache(spark, f"results-{uuid.uuid4().hex}"), []
     for _ in range(2):
         assert cache.get("k", lambda: made.append(1) or spark.range(3)).count() == 3
     assert made == [1]
