@@ -26,7 +26,7 @@ def make(folder: Path, kind: str) -> str:
         texts = ""
         if p.stem == "documents":
             sample = {c: "NULL" for c in columns}
-            for i, text in enumerate(("''", "'   '", "repeat('word and token ', 40000)", "repeat('x', 300000)", "'​\U0001f469‍\U0001f4bb\r\n\u0000'".replace("\u0000", ""))):
+            for i, text in enumerate(("''", "'   '", "repeat('word and token ', 6000)", "repeat('x', 60000)", "'​\U0001f469‍\U0001f4bb\r\n\u0000'".replace("\u0000", ""))):
                 row = dict(sample, doc_id=str(9_000_000 + i), text=text)
                 texts += " UNION ALL SELECT " + ", ".join(f"{row[c]} AS {c}" for c in columns) + ", " + extra
         rows = f"SELECT {holes}, {extra} FROM (SELECT *, row_number() OVER () AS rn FROM '{p}')"
