@@ -30,12 +30,13 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(words(c))
 
 
-def code_tokens(c: Column, min_len: int = 2, limit: int = 64) -> Column:
-    """Distinct lower-case tokens of code-like text in order: each part whole, then its camel-case fragments."""
+def code_tokens(c: Column, min_len: int = 2, limit: int | None = 64) -> Column:
+    """Distinct lower-case tokens of code-like text in order: each part whole, then its camel-case fragments. The first
+    ``limit``, which is meant for query strings; None: all."""
     parts = F.regexp_extract_all(text(c), F.lit("[a-zA-Z0-9_]+"), F.lit(0))
     both = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), F.regexp_extract_all(p, F.lit(CAMEL), F.lit(0)))))
     long = F.filter(F.transform(both, ascii_lower), lambda t: F.length(t) >= min_len)
-    return F.slice(F.array_distinct(long), 1, limit)
+    return F.array_distinct(long) if limit is None else F.slice(F.array_distinct(long), 1, limit)
 
 
 def path_words(c: Column) -> Column:

@@ -481,7 +481,7 @@ def chunk_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query()
 def code_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select("doc_id", T.code_tokens(F.col("text")).alias("tokens"))
+    return load(spark, folder, "documents").select("doc_id", T.code_tokens(F.col("text"), limit=None).alias("tokens"))
 
 
 @registry.query(f"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\\s+'), lambda x: x <> '')) AS INT) AS tokens,
