@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quillon.functions.text import CAMEL, ascii_lower, code_tokens, days_between, text
 from quillon.operators import graph as G
@@ -107,26 +109,37 @@ def query_guard(changed: DataFrame, path: str, query: list[str], least: int = 1)
     return ranked.where(F.col("_ok") | (~some & (F.col(path) == first))).drop("_ok")
 
 
-def chunk_guard(chunks: DataFrame, key: str, tokens: str, shape: str, penalty: float, least: float, pool: int = 256) -> DataFrame:
+def chunk_guard(chunks: DataFrame, key: str, tokens: str, shape: str, penalty: float, least: float, group: str | None = None) -> DataFrame:
     """Chunks (key, score, tokens, shape) kept in order of score while score less ``penalty`` times the conflict with the kept
     ones is at least ``least``: conflict is the Jaccard likeness of the tokens at different shapes. Chunks without tokens are
-    kept. key, kept; bounded by ``pool``."""
-    short = chunks.orderBy(*order(key)).limit(pool).select(key, "score", F.col(tokens).alias("_t"), F.col(shape).alias("_s"), F.lit(1).alias("_g"))
+    kept. Every chunk is judged among those of its ``group``, such as a plan, all at once; without a group all are one:
+    group, key, kept."""
+    types, by = dict(chunks.dtypes), [group] if group else []
+    rows = chunks.select(*by, F.struct(F.col(key).alias("k"), "score", F.col(tokens).alias("t"), F.col(shape).alias("s")).alias("_r"))
+    parts = rows.groupBy(*by).agg(F.collect_list("_r").alias("_r"))
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
+    def judge(part: list[dict]) -> list[dict]:
         kept: list[tuple[set, object]] = []
-        flags = []
-        part = part.sort_values(["score", key], ascending=[False, True])
-        for score, t, s in zip(part.score, part["_t"], part["_s"]):
-            t = set() if t is None else set(t)
-            against = sum(len(t & o) / len(t | o) for o, p in kept if p != s and t and o)
-            ok = not t or score - penalty * against >= least
-            flags.append(ok)
+        out = []
+        for r in sorted(part, key=lambda r: (r["score"] is None, -(r["score"] or 0.0), r["k"])):
+            t = set() if r["t"] is None else set(r["t"])
+            against = sum(len(t & o) / len(t | o) for o, p in kept if p != r["s"] and t and o)
+            ok = not t or r["score"] is not None and r["score"] - penalty * against >= least
+            out.append({"k": r["k"], "kept": ok})
             if ok:
-                kept.append((t, s))
-        return pd.DataFrame({key: part[key], "kept": flags})
-
-    return short.groupBy("_g").applyInPandas(choose, f"{key} {dict(chunks.dtypes)[key]}, kept boolean")
+                kept.append((t, r["s"]))
+        return out
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flags = pa.array([judge(p) for p in b.column(b.schema.get_field_index("_r")).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in by], flags], [*by, "_f"])
+
+    flag = StructType().add("k", chunks.schema[key].dataType).add("kept", "boolean")
+    kind = to_arrow_type(ArrayType(flag))
+    schema = StructType([*[chunks.schema[c] for c in by], StructField("_f", ArrayType(flag))])
+    judged = parts.mapInArrow(choose, schema).select(*by, F.explode("_f").alias("_f"))
+    return judged.select(*by, F.col("_f.k").cast(types[key]).alias(key), "_f.kept")
 
 
 def shielded(penalty: Column, linked: Column, attenuation: float = 0.5, enforce: bool = False) -> tuple[Column, Column]:

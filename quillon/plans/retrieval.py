@@ -531,5 +531,9 @@ def plan_view(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query()
 def chunk_guard(spark: SparkSession, folder: str) -> DataFrame:
-    s = _scored(spark, folder).select(F.concat_ws("#", "path", "lineno", "qualified_name").alias("key"), "score", T.code_tokens(F.col("qualified_name")).alias("t"), C.signature(F.col("path"), F.col("qualified_name"), F.col("kind"), F.lit("")).alias("shape"))
-    return P.chunk_guard(s, "key", "t", "shape", 2.0, 1.0)
+    """Each plan's chunks, judged among themselves."""
+    d = chunks(spark, folder).groupBy("plan_id", "path", "lineno", "end_lineno", "qualified_name").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("score"), F.max("kind").alias("kind"))
+    shape = C.signature(F.col("path"), F.col("qualified_name"), F.col("kind"), F.lit(""))
+    key = F.concat_ws("#", "path", "lineno", "end_lineno", "qualified_name")
+    s = d.select("plan_id", key.alias("key"), "score", T.code_tokens(F.col("qualified_name"), limit=None).alias("t"), shape.alias("shape"))
+    return P.chunk_guard(s, "key", "t", "shape", 2.0, 1.0, "plan_id")

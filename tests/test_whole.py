@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import planning as P
+from quillon.plans.adapters import chunks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,3 +19,27 @@ def test_code_tokens_of_long_texts(spark):
     assert df.select(T.code_tokens(F.col("x"), limit=None).alias("y")).first().y[-1] == "299"
     assert len(df.select(T.code_tokens(F.col("x")).alias("y")).first().y) == 64
     assert entry.queries()["code_tokens"](spark, SMALL).agg(F.max(F.size("tokens"))).first()[0] > 64
+
+
+def test_chunk_guard_judges_every_chunk(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, f"k{i:04}", rng.choice([0.5, 1.5, 2.0, 4.0]), rng.sample("abcdefgh", rng.randint(0, 4)), rng.choice("xy")) for i in range(900)]
+    rows += [(None, "n1", 3.0, ["a"], "x"), (None, "n2", 2.9, ["a"], "y")]
+    df = spark.createDataFrame(rows, "g int, key string, score double, t array<string>, shape string")
+    want = {}
+    for group in (0, 1, 2, None):
+        kept = []
+        for g, k, score, t, shape in sorted((r for r in rows if r[0] == group), key=lambda r: (-r[2], r[1])):
+            t = set(t)
+            against = sum(len(t & o) / len(t | o) for o, s in kept if s != shape and t and o)
+            want[g, k] = not t or score - 2.0 * against >= 1.0
+            if want[g, k]:
+                kept.append((t, shape))
+    got = P.chunk_guard(df, "key", "t", "shape", 2.0, 1.0, "g").collect()
+    assert {(r.g, r.key): r.kept for r in got} == want and len(got) == len(rows)
+    assert P.chunk_guard(df, "key", "t", "shape", 2.0, 1.0).count() == len(rows)
+
+
+def test_chunk_guard_query_has_every_chunk_of_every_plan(spark):
+    key = ["plan_id", "path", "lineno", "end_lineno", "qualified_name"]
+    assert entry.queries()["chunk_guard"](spark, SMALL).count() == chunks(spark, SMALL).select(*key).distinct().count()
