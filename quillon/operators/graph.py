@@ -6,6 +6,7 @@ Iterations cut their lineage by writing each round's state, which is one row for
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -60,23 +61,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 12, weighted: boo
     return ranks.select("node", "rank")
 
 
-def distances(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def distances(starts: DataFrame, edges: DataFrame, depth: int | None = None, every: int = 16) -> DataFrame:
     """start, node, depth: the nodes reached from each start along the edges, with the fewest steps (1 or more; a start in
-    a cycle reaches itself), up to ``depth``."""
+    a cycle reaches itself), up to ``depth``, or all that can be reached. What was found is written as one table every
+    ``every`` steps."""
     hops = edges.select("src", "dst").distinct()
     seen = materialise(starts.select(F.col("node").alias("start")).distinct().join(hops, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(1).alias("depth")))
     front = seen
-    for d in range(2, depth + 1):
+    for d in count(2) if depth is None else range(2, depth + 1):
         step = front.join(hops, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         front = materialise(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if not front.take(1):
             break
         seen = seen.unionByName(front)
+        if d % every == 0:
+            seen = materialise(seen)
     return seen
 
 
-def depth_centrality(nodes: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:
-    """node, centrality: the sum of 1 / steps over all nodes from which it is reached within ``depth`` steps."""
+def depth_centrality(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, centrality: the sum of 1 / steps over all nodes from which it is reached, within ``depth`` steps if given."""
     sums = distances(nodes, edges, depth).groupBy("node").agg(F.sum(F.lit(1.0) / F.col("depth")).alias("c"))
     return nodes.select("node").distinct().join(sums, "node", "left").select("node", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("centrality"))
 

@@ -137,7 +137,14 @@ def _thin(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 @registry.query(_REACH.format(trade=TRADE_SQL, thin=_THIN, depth=8) + " SELECT n.node, round(coalesce(sum(1.0 / depth), 0), 6) AS centrality FROM nodes n LEFT JOIN best b ON b.node = n.node GROUP BY 1")
 def import_depth(spark: SparkSession, folder: str) -> DataFrame:
-    return G.depth_centrality(*_thin(spark, folder))
+    """Of the short forward edges and up to eight steps, as its SQL states; **import_depth_all** is of the whole graph."""
+    return G.depth_centrality(*_thin(spark, folder), depth=8)
+
+
+@registry.query()
+def import_depth_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Over all edges and any number of steps."""
+    return G.depth_centrality(*trade(spark, folder))
 
 
 @registry.query(_REACH.format(trade=TRADE_SQL, thin="thin AS (SELECT dst AS src, src AS dst FROM edges)", depth=2) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM best WHERE start IN (1, 2) AND node NOT IN (1, 2) GROUP BY 1 ORDER BY 2, 1 LIMIT 12")
@@ -148,10 +155,18 @@ def reverse_dependencies(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query(_REACH.format(trade=TRADE_SQL, thin=_THIN, depth=2) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM best WHERE start IN (1, 2) AND node NOT IN (1, 2) GROUP BY 1 ORDER BY 2, 1 LIMIT 6")
 def neighbour_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    """Along the short forward edges, as its SQL states; **neighbour_expansion_all** is along all."""
     nodes, edges = _thin(spark, folder)
     return G.neighbours(nodes.where(F.col("node").isin(1, 2)), edges, 2, 6)
 
 
+@registry.query()
+def neighbour_expansion_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Over all edges, backward and long ones too."""
+    nodes, edges = trade(spark, folder)
+    return G.neighbours(nodes.where(F.col("node").isin(1, 2)), edges, 2, 6)
+
+
 @registry.query(f"""WITH {CHUNKS_SQL}, spans AS (SELECT DISTINCT path, qualified_name AS name, lineno, end_lineno FROM chunks), pts AS (SELECT DISTINCT path, lineno + 3 AS line FROM chunks)
   SELECT p.path, line, name, lineno, end_lineno FROM pts p JOIN spans s ON p.path = s.path AND line BETWEEN lineno AND end_lineno
   QUALIFY row_number() OVER (PARTITION BY p.path, line ORDER BY end_lineno - lineno, lineno DESC, name) = 1""")

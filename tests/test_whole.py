@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import graph as G
 from quillon.operators import planning as P
-from quillon.plans.adapters import chunks
+from quillon.plans.adapters import chunks, trade
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -43,3 +44,45 @@ def test_chunk_guard_judges_every_chunk(spark):
 def test_chunk_guard_query_has_every_chunk_of_every_plan(spark):
     key = ["plan_id", "path", "lineno", "end_lineno", "qualified_name"]
     assert entry.queries()["chunk_guard"](spark, SMALL).count() == chunks(spark, SMALL).select(*key).distinct().count()
+
+
+def _steps(edges, start):
+    """Breadth-first: node, fewest steps of 1 or more."""
+    found, front, d = {}, {start}, 0
+    while front:
+        d += 1
+        front = {b for a, b in edges if a in front} - set(found)
+        found.update(dict.fromkeys(front, d))
+    return found
+
+
+def _centrality(nodes, edges):
+    out = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for n, d in _steps(edges, s).items():
+            out[n] += 1 / d
+    return out
+
+
+def test_depth_has_no_limit(spark):
+    pairs = [(i, i + 1) for i in range(20)] + [(20, 17), (5, 2)]
+    nodes, edges = spark.createDataFrame([(i,) for i in range(21)], "node int"), spark.createDataFrame(pairs, "src int, dst int")
+    got = {r.node: r.centrality for r in G.depth_centrality(nodes, edges).collect()}
+    assert got == pytest.approx(_centrality(range(21), pairs), abs=2e-6)
+    assert G.distances(nodes.where("node = 0"), edges).where("node = 20").first().depth == 20
+    assert G.distances(nodes.where("node = 0"), edges, 8).agg(F.max("depth")).first()[0] == 8
+
+
+def test_whole_trade_graph(spark):
+    nodes, edges = trade(spark, SMALL)
+    nodes, pairs = [r.node for r in nodes.collect()], [(r.src, r.dst) for r in edges.collect()]
+    assert any(a > b for a, b in pairs)
+    got = {r.node: r.centrality for r in entry.queries()["import_depth_all"](spark, SMALL).collect()}
+    assert got == pytest.approx(_centrality(nodes, pairs), abs=2e-6)
+    near = {}
+    for s in (1, 2):
+        for n, d in _steps(pairs, s).items():
+            if d <= 2 and n not in (1, 2):
+                near[n] = min(d, near.get(n, 9))
+    want = sorted(near.items(), key=lambda x: (x[1], x[0]))[:6]
+    assert [tuple(r) for r in entry.queries()["neighbour_expansion_all"](spark, SMALL).collect()] == want
