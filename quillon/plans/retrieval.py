@@ -222,11 +222,22 @@ def skill_routing(spark: SparkSession, folder: str) -> DataFrame:
   o AS (SELECT DISTINCT replace(regexp_replace(path, '\\.[a-z]+$', ''), 'src/', '') AS p FROM files WHERE starts_with(path, 'src/') OR starts_with(path, 'lib/')), m AS (SELECT DISTINCT replace(p, '/', '.') AS module FROM o)
   SELECT m.module, CAST(coalesce((SELECT max(score) FROM s WHERE s.module = m.module), (SELECT max(score) FROM s WHERE ends_with('.' || s.module, '.' || m.module) OR ends_with('.' || m.module, '.' || s.module)), 0) AS DOUBLE) AS match FROM m""")
 def module_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Modules under src/ scored, those under src/ and lib/ matched, as its SQL states; **module_suffixes_all** takes all files."""
     f = files(spark, folder)
-    scores = f.where(F.col("path").startswith("src/")).groupBy("module").agg(F.max(F.size("symbols")).cast("double").alias("score")).where(F.col("score") > 0)
-    some = f.where(F.col("path").startswith("src/") | F.col("path").startswith("lib/"))
-    left = some.select(F.translate(F.replace(F.regexp_replace("path", r"\.[a-z]+$", ""), F.lit("src/"), F.lit("")), "/", ".").alias("module"))
-    return R.suffix_score(left, scores)
+    return _suffixes(f.where(F.col("path").startswith("src/") | F.col("path").startswith("lib/")), f.where(F.col("path").startswith("src/")))
+
+
+def _suffixes(left: DataFrame, scored: DataFrame) -> DataFrame:
+    scores = scored.groupBy("module").agg(F.max(F.size("symbols")).cast("double").alias("score")).where(F.col("score") > 0)
+    module = F.translate(F.replace(F.regexp_replace("path", r"\.[a-z]+$", ""), F.lit("src/"), F.lit("")), "/", ".")
+    return R.suffix_score(left.select(module.alias("module")), scores)
+
+
+@registry.query()
+def module_suffixes_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All files on both sides."""
+    f = files(spark, folder)
+    return _suffixes(f, f)
 
 
 @registry.query(f"WITH {PARTS_SQL}, h AS (SELECT * FROM parts ORDER BY price DESC, p_partkey LIMIT 64) SELECT p_partkey, round(price + 3.0 * ln(1 + qty) / ln(1 + max(qty) OVER ()) + 1.0 * ln(1 + orders) / ln(1 + max(orders) OVER ()), 6) AS score, true AS in_pool FROM h UNION ALL SELECT p_partkey, round(price, 6), false FROM parts WHERE p_partkey NOT IN (SELECT p_partkey FROM h)")

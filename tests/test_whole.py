@@ -1,6 +1,7 @@
 """Operators do the whole job: nothing beyond a pool, a prefix or a depth is lost."""
 
 import random
+import re
 
 import __spark_entry__ as entry
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import graph as G
 from quillon.operators import planning as P
-from quillon.plans.adapters import chunks, trade
+from quillon.plans.adapters import chunks, files, trade
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -86,3 +87,19 @@ def test_whole_trade_graph(spark):
                 near[n] = min(d, near.get(n, 9))
     want = sorted(near.items(), key=lambda x: (x[1], x[0]))[:6]
     assert [tuple(r) for r in entry.queries()["neighbour_expansion_all"](spark, SMALL).collect()] == want
+
+
+def test_module_suffixes_of_all_files(spark):
+    rows = files(spark, SMALL).select("path", "module", F.size("symbols").alias("n")).collect()
+    scores = {}
+    for r in rows:
+        if r.n > 0:
+            scores[r.module] = max(r.n, scores.get(r.module, 0))
+    want = {}
+    for r in rows:
+        m = re.sub(r"\.[a-z]+$", "", r.path, count=1).replace("src/", "").replace("/", ".")
+        ends = [v for k, v in scores.items() if f".{k}".endswith(f".{m}") or f".{m}".endswith(f".{k}")]
+        want[m] = float(scores.get(m, max(ends, default=0)))
+    got = entry.queries()["module_suffixes_all"](spark, SMALL).collect()
+    assert {r.module: r.match for r in got} == want and len(got) == len(want)
+    assert any(r.match > 0 for r in got if r.module.startswith(("pkg.", "docs.", "tests.")))
