@@ -6,15 +6,20 @@ lines, so they are equi-joins. Greedy selections run on a pool that is cut to a
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.text import ascii_lower, estimate_tokens, jaccard, text
 from quillon.operators.ranking import total
+from quillon.session import materialise
 
 # The weights of chunk scores and penalties.
 FILE_PRIOR, PATH_MATCH, MODULE_MATCH = 0.35, 1.0, 0.8
@@ -141,26 +146,75 @@ def conflict(a: Column, b: Column, same_shape: Column, least: float = 0.0) -> Co
     return F.when(same_shape | (j < least), F.lit(0.0)).otherwise(j)
 
 
-def greedy_distinct(rows: DataFrame, key: str, group: str, tokens: str, threshold: float, pool: int = 512) -> DataFrame:
-    """Within each group, rows in order of score, key that are less like all kept ones than ``threshold`` (Jaccard of token
-    sets): key, kept. Rows without tokens are like none. Only the best ``pool`` rows of a group are compared; the others are not kept."""
-    place = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), key))
-    short = rows.select(key, group, "score", F.col(tokens).alias("_t")).withColumn("_n", place).where(F.col("_n") <= pool)
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        flags = []
-        part = part.sort_values("_n")
-        for t in part["_t"]:
-            t = set() if t is None else set(t)
-            ok = all(not t or not o or len(t & o) / len(t | o) < threshold for o in kept)
-            flags.append(ok)
-            if ok:
-                kept.append(t)
-        return pd.DataFrame({key: part[key], group: part[group], "kept": flags})
-
-    types = dict(rows.dtypes)
-    return short.groupBy(group).applyInPandas(choose, f"{key} {types[key]}, {group} {types[group]}, kept boolean")
+def _parts(size: int, threshold: float) -> int:
+    """Two more than the tokens in which two sets of up to ``size`` tokens and that likeness can differ."""
+    return math.floor((1 - threshold) / (1 + threshold) * 2 * size + 1e-6) + 2
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """_id and hashes of tokens: _id, level, part, sig. A level is a class of sizes whose neighbours differ by the threshold;
+    tokens fall into a part each by their hash, and sig is the sum of a part's hashes."""
+    base = 1 / (threshold - 1e-6)
+    for b in batches:
+        ids, hashes = b.column(0), b.column(1)
+        rows, levels, parts, sigs = [], [], [], []
+        for i, h in enumerate(hashes):
+            h = h.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            own = math.floor(math.log(len(h), base))
+            for level in (own, own + 1):
+                n = _parts(math.ceil(base ** (level + 1)), threshold)
+                sig = np.zeros(n, np.uint64)
+                np.add.at(sig, (h % np.uint64(n)).astype(np.int64), h)
+                rows.append(np.full(n, i)), levels.append(np.full(n, level, np.int32)), parts.append(np.arange(n, dtype=np.int32)), sigs.append(sig.view(np.int64))
+        if rows:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(x)) for x in (levels, parts, sigs)]], ["_id", "level", "part", "sig"])
+
+
+def _like(sets: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of ids of token sets (_id, _g, _o, _t) among ``firsts`` (_id), of one group and at least as like as
+    ``threshold``, the first in order before the second. A level has two parts more than tokens in which sets that like can
+    differ, so two parts at least are the same in both: pairs meet by equality, none is missed, and those that meet twice on a
+    level are verified."""
+    hashed = sets.select("_id", F.transform("_t", lambda t: F.xxhash64(t)).alias("h")).where(F.size("h") > 0)
+    signed = hashed.mapInArrow(lambda batches: _signatures(batches, threshold), "_id bigint, level int, part int, sig bigint")
+    keyed = signed.join(firsts.select("_id", F.xxhash64("_g").alias("g")), "_id").select("_id", "level", F.xxhash64("g", "part", "sig").alias("sig"))
+    met = keyed.withColumnRenamed("_id", "a").join(keyed.withColumnRenamed("_id", "b"), ["level", "sig"]).where(F.col("a") < F.col("b"))
+    met = met.groupBy("a", "b", "level").agg(F.count("*").alias("n")).where(F.col("n") >= 2).select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("_id").alias(x), F.struct("_id", "_g", "_o", "_t").alias(f"s{x}"))
+    both = materialise(met).join(side("a"), "a").join(side("b"), "b")
+    alike = both.where(F.col("sa._g").eqNullSafe(F.col("sb._g")) & (jaccard(F.col("sa._t"), F.col("sb._t")) >= threshold))
+    ahead = F.col("sa._o") < F.col("sb._o")
+    return alike.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def _first_wins(pairs: DataFrame) -> DataFrame:
+    """_id: what falls to a better one that stands. In each round those that no open pair puts behind another stand, and what is
+    like them falls."""
+    live, fallen = materialise(pairs), None
+    while live.take(1):
+        heads = live.select("a").join(live.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        gone = materialise(live.join(heads, "a", "left_semi").select(F.col("b").alias("_id")).distinct())
+        fallen = gone if fallen is None else fallen.unionByName(gone)
+        live = materialise(live.join(gone.withColumnRenamed("_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("_id", "b"), "b", "left_anti"))
+    return live.select(F.col("a").alias("_id")) if fallen is None else fallen
+
+
+def greedy_distinct(rows: DataFrame, key: str, group: str, tokens: str, threshold: float) -> DataFrame:
+    """Within each group, rows in order of score, key that are less like all kept ones than ``threshold`` (above 0, 1 at most;
+    Jaccard of token sets): key, group, kept, for every row. Keys are unique in a group. Rows without tokens are like none.
+    Of equal sets only the first can be kept; pairs of like sets are found by equality and resolved in rounds. Made for high
+    thresholds: the lower it is, the more pairs meet."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    sets = F.array_sort(F.array_distinct(F.coalesce(F.col(tokens), F.array().cast(rows.schema[tokens].dataType))))
+    place = F.struct(F.col("score").isNull().alias("n"), (-F.col("score")).alias("s"), F.col(key).alias("k"))
+    base = rows.select(F.col(key).alias("_k"), F.struct(F.col(group).alias("g")).alias("_g"), place.alias("_o"), sets.alias("_t"))
+    base = materialise(base.withColumns({"_d": F.sha2(F.to_json("_t"), 256), "_id": F.monotonically_increasing_id()}))
+    firsts = base.where(F.size("_t") > 0).groupBy("_g", "_d").agg(F.min(F.struct("_o", "_id")).alias("_f"))
+    firsts = materialise(firsts.select("_g", F.col("_f._id").alias("_id")))
+    kept = firsts.join(_first_wins(_like(base, firsts, threshold)), "_id", "left_anti").select("_id", F.lit(True).alias("_kept"))
+    out = base.select("_k", "_g", "_id", (F.size("_t") == 0).alias("_bare")).join(kept, "_id", "left")
+    return out.select(F.col("_k").alias(key), F.col("_g.g").alias(group), (F.col("_bare") | F.coalesce("_kept", F.lit(False))).alias("kept"))
 
 
 # Tier and score by the signals of a score breakdown.

@@ -476,9 +476,9 @@ def greedy_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query()
 def near_duplicates_greedy(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the hundred best hits those that aren't near duplicates of better ones."""
-    docs = load(spark, folder, "documents").select("doc_id", T.word_set(F.col("text")).alias("t"))
-    hits = R.top(bm25_documents(spark, folder), "doc_id", 100).join(docs, "doc_id").withColumn("query", F.lit("q"))
+    """Each hit, and whether it is kept as no near duplicate of a better one that is."""
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    hits = bm25_documents(spark, folder).join(docs, "doc_id").select("doc_id", "score", T.word_set(F.col("text")).alias("t"), F.lit("q").alias("query"))
     return C.greedy_distinct(hits, "doc_id", "query", "t", 0.9)
 
 

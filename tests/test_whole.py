@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import chunks as C
 from quillon.operators import graph as G
 from quillon.operators import planning as P
 from quillon.plans.adapters import chunks, files, trade
+from quillon.sources.tables import load
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -103,3 +105,40 @@ def test_module_suffixes_of_all_files(spark):
     got = entry.queries()["module_suffixes_all"](spark, SMALL).collect()
     assert {r.module: r.match for r in got} == want and len(got) == len(want)
     assert any(r.match > 0 for r in got if r.module.startswith(("pkg.", "docs.", "tests.")))
+
+
+def _greedy(rows, threshold):
+    want, kept = {}, {}
+    for k, g, _, t in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0.0), r[0])):
+        t, before = set(t or ()), kept.setdefault(g, [])
+        want[g, k] = all(not t or not o or len(t & o) / len(t | o) < threshold for o in before)
+        if want[g, k]:
+            before.append(t)
+    return want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 1.0])
+def test_near_duplicates_of_every_row(spark, threshold):
+    rng, rows = random.Random(5), []
+    for i in range(900):
+        if rows and rng.random() < 0.6:
+            t = set(rng.choice(rows)[3] or ["a"])
+            for _ in range(rng.choice([0, 1, 1, 2, 5])):
+                t ^= {f"w{rng.randrange(400)}"}
+        else:
+            t = {f"w{rng.randrange(400)}" for _ in range(rng.choice([0, 1, 5, 9, 10, 19, 40, 90, 200]))}
+        rows.append((i, rng.choice(["g", "g", "h", None]), rng.choice([None, 1.0, 2.0, 3.5, i * 0.01]), sorted(t) or rng.choice([None, []])))
+    df = spark.createDataFrame(rows, "k int, g string, score double, t array<string>")
+    want = _greedy(rows, threshold)
+    got = {(r.g, r.k): r.kept for r in C.greedy_distinct(df, "k", "g", "t", threshold).collect()}
+    assert got == want and not all(want.values())
+
+
+def test_near_duplicates_query_has_every_hit(spark):
+    q, folder = entry.queries(), "/root/testdata/sf0.01"
+    docs = load(spark, folder, "documents").select("doc_id", T.word_set(F.col("text")).alias("t"))
+    rows = [(r.doc_id, "q", r.score, r.t) for r in q["bm25_documents"](spark, folder).join(docs, "doc_id").collect()]
+    got = {(r.query, r.doc_id): r.kept for r in q["near_duplicates_greedy"](spark, folder).collect()}
+    assert got == _greedy(rows, 0.9) and len(got) > 100
+    with pytest.raises(ValueError):
+        C.greedy_distinct(spark.range(1), "id", "id", "id", 0.0)
