@@ -297,19 +297,25 @@ def cards(chunks: DataFrame, n: int) -> DataFrame:
     return top.select("path", F.struct(*KEY, "score").alias("chunk_card"), F.struct("path", F.count("*").over(W.partitionBy("path")).alias("chunks")).alias("file_card"))
 
 
-def pack_greedy(chunks: DataFrame, focused: list[str], k: int, bonus: float = 0.15, pool: int = 256) -> DataFrame:
+def pack_greedy(chunks: DataFrame, focused: list[str], k: int, bonus: float = 0.15) -> DataFrame:
     """Up to ``k`` chunks, step by step: focused files not yet covered first, then the best score, with ``bonus`` for files
-    already packed: key, place. Bounded by ``pool``."""
+    already packed: key, place. Of each file at most its best ``k`` chunks can be packed, and files that aren't focused are
+    opened in order of their best chunk, so those of the focused and of the first ``k`` files are all that matters."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        left = list(rows.sort_values(["score", "path", "lineno", "qualified_name"], ascending=[False, True, True, True]).itertuples())
+        left = list(rows.sort_values(["score", "path", "lineno", "qualified_name", "end_lineno"], ascending=[False, True, True, True, True]).itertuples())
         used: set = set()
         out = []
         while left and len(out) < k:
-            best = min(left, key=lambda r: (not (r.path in focused and r.path not in used), -(r.score + (bonus if r.path in used else 0.0)), r.path, r.lineno, r.qualified_name))
+            best = min(left, key=lambda r: (not (r.path in focused and r.path not in used), -(r.score + (bonus if r.path in used else 0.0)), r.path, r.lineno, r.qualified_name, r.end_lineno))
             left.remove(best)
             used.add(best.path)
             out.append((best.path, best.lineno, best.end_lineno, best.qualified_name, len(out) + 1))
         return pd.DataFrame(out, columns=[*KEY, "place"])
 
-    return _pool(chunks, pool).select(*KEY, "score", F.lit(1).alias("_g")).groupBy("_g").applyInPandas(choose, "path string, lineno int, end_lineno int, qualified_name string, place int")
+    place = F.row_number().over(W.partitionBy("path").orderBy(F.desc("score"), "lineno", "qualified_name", "end_lineno"))
+    best = materialise(chunks.select(*KEY, "score").withColumn("_n", place).where(F.col("_n") <= k))
+    is_focused = F.col("path").isin(focused)
+    opened = best.where((F.col("_n") == 1) & ~is_focused).orderBy(F.desc("score"), "path").limit(k).select("path")
+    pool = best.where(is_focused).unionByName(best.where(~is_focused).join(F.broadcast(opened), "path", "left_semi"))
+    return pool.select(*KEY, "score", F.lit(1).alias("_g")).groupBy("_g").applyInPandas(choose, "path string, lineno int, end_lineno int, qualified_name string, place int")

@@ -142,3 +142,25 @@ def test_near_duplicates_query_has_every_hit(spark):
     assert got == _greedy(rows, 0.9) and len(got) > 100
     with pytest.raises(ValueError):
         C.greedy_distinct(spark.range(1), "id", "id", "id", 0.0)
+
+
+def test_packing_sees_every_chunk(spark):
+    rng = random.Random(7)
+    rows = [(f"src/f{rng.randrange(80)}.py", i, i + rng.randrange(3), f"m.f{i % 7}", rng.choice([1.0, 1.05, 1.1, 1.2, 2.0])) for i in range(1500)]
+    rows += [("src/low.py", i, i, "m.g", 0.001 * i) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "path string, lineno int, end_lineno int, qualified_name string, score double")
+    for focused, k in ((["src/low.py", "src/none.py", "src/f1.py"], 12), ([], 30)):
+        left, used, want = list(rows), set(), []
+        while len(want) < k:
+            best = min(left, key=lambda r: (not (r[0] in focused and r[0] not in used), -(r[4] + (0.15 if r[0] in used else 0.0)), r[0], r[1], r[3], r[2]))
+            left.remove(best)
+            used.add(best[0])
+            want.append((*best[:4], len(want) + 1))
+        assert [tuple(r) for r in C.pack_greedy(df, focused, k).orderBy("place").collect()] == want
+        assert not focused or "src/low.py" in used
+
+
+def test_packing_query_promotes_its_focused_files(spark):
+    got = entry.queries()["greedy_packing"](spark, SMALL).orderBy("place").collect()
+    paths = sorted(r.path for r in files(spark, SMALL).select("path").collect())[:3]
+    assert {r.path for r in got[:3]} == set(paths) and len(got) == 20
