@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.text import ascii_lower, days_between, overlap, text, word_set
@@ -139,9 +140,10 @@ def scope(df: DataFrame, repo: str, namespace: str) -> DataFrame:
     return df.withColumn("scope", where)
 
 
-def ranked_facts(facts: DataFrame, n: int, budget: int, pool: int = 512) -> DataFrame:
+def ranked_facts(facts: DataFrame, n: int, budget: int) -> DataFrame:
     """Facts (text, confidence, importance, uses, last_used, tokens) by .60 confidence, .30 importance, .07 recency (min-max)
-    and .03 use, taken in that order while they fit: one that doesn't fit is skipped. Bounded by ``pool``: text, score."""
+    and .03 use, taken in that order while they fit: one that doesn't fit is skipped. No
+    more than the ``n`` best of each number of tokens up to the budget can be taken, so only those are gathered: text, score."""
     span = facts.agg(F.struct(F.min("last_used").alias("a"), F.max("last_used").alias("b")).alias("s")).scalar()
     f = facts.withColumn("_s", span)
     recency = F.when(F.col("_s.b") > F.col("_s.a"), (F.unix_micros("last_used") - F.unix_micros("_s.a")) / (F.unix_micros("_s.b") - F.unix_micros("_s.a"))).otherwise(F.lit(1.0))
@@ -158,7 +160,9 @@ def ranked_facts(facts: DataFrame, n: int, budget: int, pool: int = 512) -> Data
                 out.append((r.text, r.score))
         return pd.DataFrame(out, columns=["text", "score"])
 
-    return f.orderBy(F.desc("score"), "text").limit(pool).withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(choose, "text string, score double")
+    place = F.row_number().over(W.partitionBy("tokens").orderBy(F.desc("score"), "text"))
+    best = f.where(F.col("tokens") <= budget).withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+    return best.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(choose, "text string, score double")
 
 
 def explain(hits: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:

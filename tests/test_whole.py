@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import chunks as C
 from quillon.operators import graph as G
+from quillon.operators import memory as M
 from quillon.operators import planning as P
 from quillon.plans.adapters import chunks, files, trade
 from quillon.sources.tables import load
@@ -164,3 +165,15 @@ def test_packing_query_promotes_its_focused_files(spark):
     got = entry.queries()["greedy_packing"](spark, SMALL).orderBy("place").collect()
     paths = sorted(r.path for r in files(spark, SMALL).select("path").collect())[:3]
     assert {r.path for r in got[:3]} == set(paths) and len(got) == 20
+
+
+def test_facts_beyond_the_best_are_reached(spark):
+    rng = random.Random(9)
+    rows = [(f"t{i:04}", 0.9 - i * 0.0001, 0.5, 1, None, rng.choice([9, 40, 70])) for i in range(1500)] + [("short", 0.01, 0.0, 0, None, 3), ("shorter", 0.01, 0.0, 0, None, 1)]
+    df = spark.createDataFrame(rows, "text string, confidence double, importance double, uses int, last_used timestamp, tokens int")
+    want, left = [], 50
+    for r in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if len(want) < 12 and r[5] <= left:
+            left -= r[5]
+            want.append(r[0])
+    assert [r.text for r in M.ranked_facts(df, 12, 50).collect()] == want and len({"short", "shorter"} & set(want)) > 0
