@@ -110,5 +110,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query()
 def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The usual compression ratio of text by script and length."""
+    """The usual compression ratios of text by script, language and length."""
     return stuffing.usual_ratios(stuffing.measured_blocks(load(spark, folder, "documents")))

@@ -333,6 +333,9 @@ def test_stuffed_pages(spark):
         4: "\n".join(f"{pick(3)} - {rng.randrange(200)}.99 USD" for _ in range(40)),
         5: prose(rng, 1) + "\n".join(f"{i}. {pick(2)} : http://y{i}.test/a" for i in range(40)),
         6: "买便宜 代码搜索, " * 60,
+        7: "buy (cheap) <b>online</b> best = deal\n" * 40,
+        8: "Cheap hotels. Best hotels. Hotels online. " * 40,
+        9: " ".join(f"{pick(4).capitalize()} {rng.choice(['for', 'and', 'with'])} {pick(2)}{rng.choice('.!?')}" for _ in range(50)),
     }
     plain = {
         11: prose(rng, 5),
@@ -347,6 +350,9 @@ def test_stuffed_pages(spark):
         20: "",
         21: " \n\t ",
         22: "word",
+        24: "?",
+        25: "\n".join(f"{prose(rng, 1)[:60]}\n{prose(rng, 1)[:64]}" for _ in range(12)),
+        26: "for (i = 0; i < n; i++) {\n  total += rows[i];\n}\n" * 20,
         23: prose(rng, 12) + spam[1][:600],
     }
     many = {100 + i: prose(rng, 1 + i % 7) for i in range(40)}
@@ -360,6 +366,23 @@ def test_script_of():
     assert [stuffing.script_of(t) for t in ("plain text", "Größe", "привет мир", "购买便宜 code", "無料のコード検索")] == ["latin", "latin", "cyrillic", "han", "kana"]
 
 
+def test_kind_does_not_depend_on_where_a_long_line_is_cut():
+    rng = random.Random(6)
+    words = "buy cheap online free best trial pro lite code search".split()
+    line = "The reader opens the file and it is there. " + " ".join(rng.choice(words) for _ in range(3000))
+    for text in (line, line[::-1]):
+        assert len({k for k, _, _ in stuffing.blocks(text)}) == 1
+    assert sum(len(b) for _, _, b in stuffing.blocks(line)) == len(line)
+
+
+def test_usual_ratios_by_language(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 3), lang) for i, lang in enumerate(["en"] * 60 + ["EN"] * 10 + ["xx"] * 5 + [None] * 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = stuffing.usual_ratios(stuffing.measured_blocks(df)).collect()
+    assert {r.lang for r in got} == {"en", ""} and all(0 < r.usual < 1 and 0 < r.usual_bag for r in got)
+
+
 def test_core_does_not_import_llm():
     import pathlib
 
