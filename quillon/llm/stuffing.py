@@ -67,6 +67,7 @@ _NAME = re.compile(r"`[^`]*`|(?<![a-z0-9./\\_-])(?=[a-z0-9-]*+[/\\_.][a-z0-9])[a
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]*)?")
 _CJK = re.compile("[぀-ヿ一-鿿]")
 _HIRAGANA = re.compile("[぀-ゟ]")
+_SCRIPTS = tuple(re.compile(x) for x in ("[\u3040-\u30ff]", "[\u4e00-\u9fff]", "[\u0400-\u052f]", "[a-zA-Z\u00c0-\u024f]"))
 _RUBRIC = re.compile(r"#{1,6}\s|={3,}|-{3,}$")
 _TECHNICAL = re.compile(
     r"""^\s*(?:import\s+[\w.{*]+|from\s+\S+\s+import|(?:async\s+)?def\s+\w+\s*\(|class\s+\w+[:({ ]*$|func\s|fn\s|return\b|export\s|(?:const|let|var)\s+\w|(?:if|for|while)\s.*[:{]$|select\s.*\sfrom\s|insert\s+into|file\s+"|traceback|at\s+\S+\(|\#include|//|/\*|[{}@$]\s?)
@@ -87,19 +88,8 @@ def script_of(text: str) -> str:
     """The script most letters are written in, as far as lengths in bytes and compression depend on it."""
     if text.isascii():
         return "latin"
-    han = kana = cyrillic = latin = other = 0
-    for c in text:
-        o = ord(c)
-        if o < 0x250:
-            latin += c.isalpha()
-        elif 0x400 <= o < 0x530:
-            cyrillic += 1
-        elif 0x3040 <= o < 0x3100:
-            kana += 1
-        elif 0x4E00 <= o < 0xA000:
-            han += 1
-        else:
-            other += c.isalpha()
+    kana, han, cyrillic, latin = (len(x.findall(text)) for x in _SCRIPTS)
+    other = sum(map(str.isalpha, text)) - kana - han - cyrillic - latin
     if kana * 5 > han + kana > latin / 2:
         return "kana"
     names = {"latin": latin, "cyrillic": cyrillic, "han": 2 * (han + kana), "other": other}
@@ -117,9 +107,12 @@ def particles(line: str) -> tuple[float, str]:
     words = _WORD.findall(bare)
     if not words:
         return 0.0, "latin"
-    cyrillic = sum("Ѐ" <= w[0] < "԰" for w in words) * 2 > len(words)
+    cyrillic = not bare.isascii() and sum("\u0400" <= w < "\u0530" for w in words) * 2 > len(words)
     known = _CYRILLIC if cyrillic else _LATIN
-    found = sum(w in known or (p := max(w.find("'"), w.find("’"))) > 0 and (w[:p] in known or w[:p] + "'" in known) for w in words)
+    found = sum(map(known.__contains__, words))
+    if "'" in bare or "\u2019" in bare:
+        heads = [re.split("['\u2019]", w, maxsplit=1)[0] for w in words if w not in known and ("'" in w or "\u2019" in w)]
+        found += sum(h in known or h + "'" in known for h in heads)
     return found / len(words), "cyrillic" if cyrillic else "latin"
 
 
