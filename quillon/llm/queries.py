@@ -39,16 +39,41 @@ def _stage_values(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query(P3_SQL)
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups with a low median and a slow tail, by rank-interval summaries."""
-    values = materialise(_stage_values(spark, folder))
+    values = _stage_values(spark, folder)
     return quantiles.decide(quantiles.slow_tails(values), values)
 
 
 @registry.query()
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Median, 90th, 95th and 99th percentile of each group with their bounds and the rank error."""
-    merged = quantiles.merge_sketches(quantiles.sketch(_stage_values(spark, folder), quantiles.GROUPS, "elapsed_ms"), quantiles.GROUPS)
+    return _percentiles(_stage_values(spark, folder), quantiles.GROUPS, 0.002)
+
+
+def _percentiles(values: DataFrame, groups: list[str], eps: float) -> DataFrame:
+    merged = quantiles.merge_sketches(quantiles.sketch(values, groups, "elapsed_ms", eps), groups, eps)
     out = quantiles.bounds(merged, {"p50": 50, "p90": 90, "p95": 95, "p99": 99})
-    return out.withColumn("rank_error", F.col("err")).drop("v", "g", "d", "err")
+    return out.withColumn("rank_error", F.col("err")).drop("v", "g", "d", "err", "level")
+
+
+_HELD_SQL = P3_SQL.split("SELECT repo_key, profile_key, stage_name FROM read")[0]
+
+
+@registry.query(_HELD_SQL + "SELECT stage_name, count(*) AS n, true AS within, true AS bounded FROM read WHERE ms >= 0 AND stage_name IS NOT NULL GROUP BY 1")
+def p3_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """By stage alone, whose groups are large and compressed: whether the exact percentiles lie within the bounds, and the rank
+    error within ``eps * n``. The exact ones are counted: a value is the percentile if enough values aren't above it and
+    too few are below."""
+    eps, names = 0.002, {"p50": 50, "p90": 90, "p95": 95, "p99": 99}
+    values = materialise(_stage_values(spark, folder).select("stage_name", "elapsed_ms"))
+    got = _percentiles(values, ["stage_name"], eps)
+    on = values.join(F.broadcast(got.select(F.col("stage_name").alias("s"), *[f"{p}_{x}" for p in names for x in ("low", "high")])), F.col("stage_name") == F.col("s"))
+    counts = on.groupBy("stage_name").agg(
+        *[F.count_if(F.col("elapsed_ms") < F.col(f"{p}_low")).alias(f"{p}_below") for p in names], *[F.count_if(F.col("elapsed_ms") <= F.col(f"{p}_high")).alias(f"{p}_upto") for p in names]
+    )
+    held = F.lit(True)
+    for p, q in names.items():
+        held = held & (F.col(f"{p}_below") < quantiles.rank_of(q)) & (F.col(f"{p}_upto") >= quantiles.rank_of(q))
+    return got.join(counts, "stage_name").select("stage_name", "n", held.alias("within"), (F.col("rank_error") <= eps * F.col("n")).alias("bounded"))
 
 
 P4_SQL = """

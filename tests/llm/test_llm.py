@@ -39,33 +39,68 @@ def test_dirty(spark, folders, name):
 
 def summary(values, eps, group=0):
     v = np.array(values, float)
-    return quantiles.compress(*quantiles.summarise(np.full(len(v), group), v), eps)
+    return quantiles.compress(*quantiles.summarise(np.full(len(v), group), v), eps / 4)
 
 
 def check_bounds(values, s):
     _, v, g, d = s
-    values = sorted(values)
+    values = np.sort(np.asarray(values, float))
     low = np.cumsum(g)
     assert low[-1] == len(values)
-    for x, a, b in zip(v, low, low + d):
-        # the value's ranks run from the number below it, plus one, to the number not above it
-        first, last = np.searchsorted(values, x, "left") + 1, np.searchsorted(values, x, "right")
-        assert first <= b and a <= last
+    # a value's ranks run from the number below it, plus one, to the number not above it
+    first, last = np.searchsorted(values, v, "left") + 1, np.searchsorted(values, v, "right")
+    assert (first <= low + d).all() and (low <= last).all()
+
+
+def merged_in_levels(parts, eps, fan):
+    """The parts merged ``fan`` at a time until one is left, as the operator does; with its level."""
+    level = 0
+    while len(parts) > 1:
+        level += 1
+        out = []
+        for i in range(0, len(parts), fan):
+            some = parts[i : i + fan]
+            part = np.repeat(np.arange(len(some)), [len(o[0]) for o in some])
+            group, v, g, d = (np.concatenate([o[j] for o in some]) for j in range(4))
+            out.append(quantiles.compress(*quantiles.merge(group, part, v, g, d), eps / 2 ** (level + 2)))
+        parts = out
+    return parts[0], level
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 50), min_size=1, max_size=60), min_size=1, max_size=6), st.sampled_from([0.01, 0.1, 0.3]))
-def test_merged_summaries_keep_their_bounds(parts, eps):
-    out = [summary(p, eps) for p in parts]
-    part = np.repeat(np.arange(len(out)), [len(o[0]) for o in out])
-    group, v, g, d = (np.concatenate([o[i] for o in out]) for i in range(4))
-    order = np.random.default_rng(0).permutation(len(v))
-    merged = quantiles.merge(group[order], part[order], v[order], g[order], d[order])
+@given(st.lists(st.lists(st.integers(0, 50), min_size=1, max_size=60), min_size=1, max_size=6), st.sampled_from([0.01, 0.1, 0.3, 0.9]), st.integers(2, 6))
+def test_merged_summaries_keep_their_bounds(parts, eps, fan):
+    got, _ = merged_in_levels([summary(p, eps) for p in parts], eps, fan)
     everything = [x for p in parts for x in p]
-    check_bounds(everything, merged)
-    again = quantiles.compress(*merged, eps)
-    check_bounds(everything, again)
-    assert (again[2] + again[3]).max() <= max(eps * len(everything) * 2, max(Counter(everything).values())) + len(parts) * 2 + sum(2 * eps * len(p) for p in parts)
+    check_bounds(everything, got)
+    assert quantiles.errors(*got).max() <= eps * len(everything)
+
+
+@pytest.mark.parametrize("fan", [2, 24, 500])
+@pytest.mark.parametrize("values", ["spread", "ties", "ordered"])
+def test_error_after_500_merges(fan, values):
+    eps, rng = 0.01, np.random.default_rng(3)
+    x = {"spread": rng.lognormal(4, 1.5, 1_000_000), "ties": np.floor(rng.lognormal(1, 1, 1_000_000)), "ordered": np.arange(1_000_000.0)}[values]
+    got, level = merged_in_levels([summary(p, eps) for p in np.split(x, 500)], eps, fan)
+    check_bounds(x, got)
+    assert quantiles.errors(*got).max() <= eps * len(x) and len(got[0]) <= 8 * 2**level / eps + 2
+    if fan == 500:
+        assert len(got[0]) < 2_000
+
+
+def test_merging_a_group_beyond_what_is_held(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.lognormal(4, 1.5, 300_000)
+    rows = quantiles._summaries_of(["k"], 0.01)
+    import pyarrow as pa
+
+    batch = lambda v: pa.RecordBatch.from_arrays([pa.array(["hot"] * len(v)), pa.array(v)], ["k", "_value"])
+    leaves = [next(rows(iter([batch(v)]))) for v in np.split(x, 300)]
+    monkeypatch.setattr(quantiles, "HELD", 5_000)
+    (out,) = quantiles._merge_of(["k"], 0.01)(iter(leaves))
+    r = out.to_pylist()[0]
+    assert r["n"] == len(x) and r["err"] <= 0.01 * len(x) and r["level"] >= 2
+    check_bounds(x, (None, np.array(r["v"]), np.array(r["g"]), np.array(r["d"])))
 
 
 def test_percentiles_over_partitions_and_days(spark):
@@ -82,7 +117,7 @@ def test_percentiles_over_partitions_and_days(spark):
     assert set(got) == set(want)
     for k, xs in want.items():
         xs.sort()
-        assert got[k].n == len(xs) and got[k].err <= 0.06 * len(xs) + 4
+        assert got[k].n == len(xs) and got[k].err <= 0.01 * len(xs)
         for name, q in (("p50", 50), ("p95", 95)):
             exact = xs[max(1, -(-q * len(xs) // 100)) - 1]
             assert got[k][name + "_low"] <= exact <= got[k][name + "_high"]
