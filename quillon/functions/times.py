@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?$"
 _STAMP = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|z|[+-]\d{2}(?::?\d{2})?)?$"
 
 
@@ -22,8 +23,11 @@ def parse_micros(text: Column) -> Column:
         F.concat(hours, F.lit(":"), F.when(minutes == "", F.lit("00")).otherwise(minutes))
     )
     stamp = F.concat(F.regexp_extract(t, _STAMP, 1), F.lit("T"), F.regexp_extract(t, _STAMP, 2), offset)
+    # the usual forms are told by one pattern and read as they are
+    zoned = F.endswith(t, F.lit("Z")) | F.substring(t, -6, 1).isin("+", "-")
     return (
-        F.when(t.rlike(r"^[+-]?\d{1,12}$") & ~t.rlike(_DATE), t.try_cast("bigint") * F.lit(1_000_000))
+        F.when(t.rlike(_PLAIN), F.unix_micros(F.when(zoned, t).otherwise(F.concat(t, F.lit("Z"))).try_cast("timestamp")))
+        .when(t.rlike(r"^[+-]?\d{1,12}$") & ~t.rlike(_DATE), t.try_cast("bigint") * F.lit(1_000_000))
         .when(t.rlike(_DATE), F.unix_micros(F.concat(t, F.lit("T00:00:00+00:00")).try_cast("timestamp")))
         .when(t.rlike(_STAMP), F.unix_micros(stamp.try_cast("timestamp")))
     )

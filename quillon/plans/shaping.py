@@ -125,7 +125,26 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.statement_history(load(spark, folder, "memory_triples"))
 
 
-@registry.query()
+P5_LOG_SQL = f"""
+WITH read AS (
+  SELECT subject, predicate, coalesce({_micros("valid_from")}, {_micros("as_of")}) AS start,
+         coalesce({_micros("observed_at")}, -1) AS observed, coalesce({_micros("valid_to")}, -1) AS stop, object_value
+  FROM memory_triples
+), cut AS (SELECT max(observed) // 86400000000 * 86400000000 AS day FROM read
+), before AS (
+  SELECT read.* FROM read, cut WHERE start IS NOT NULL AND observed < cut.day
+  QUALIFY row_number() OVER (PARTITION BY subject, predicate, start ORDER BY observed DESC, stop DESC, object_value DESC) = 1
+), after AS (
+  SELECT * FROM read WHERE start IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY subject, predicate, start ORDER BY observed DESC, stop DESC, object_value DESC) = 1
+)
+SELECT subject, predicate, start, 1 AS snapshot, object_value FROM before
+UNION ALL SELECT a.subject, a.predicate, a.start, 2, a.object_value FROM after a ANTI JOIN before b ON a.subject IS NOT DISTINCT FROM b.subject
+  AND a.predicate IS NOT DISTINCT FROM b.predicate AND a.start = b.start AND a.observed = b.observed AND a.stop = b.stop AND a.object_value IS NOT DISTINCT FROM b.object_value
+"""
+
+
+@registry.query(P5_LOG_SQL)
 def p5_log(spark: SparkSession, folder: str) -> DataFrame:
     """The statements that each snapshot appended, found by comparing Merkle trees."""
     log = history.statement_log(load(spark, folder, "memory_triples"))

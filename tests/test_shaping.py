@@ -1,6 +1,8 @@
 """Nested records, drift and histories on small cases with known results."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,7 +173,7 @@ def test_history_rules(spark):
         ("s", "p", D(7), "", "d"),
         ("s", "q", D(5), "", "e"),
     ]
-    for n in (1, 2, 5):
+    for n in (1, 2, 9):
         got = versions(spark, rows[:-1], n)
         assert got == want
     assert len(versions(spark, [rows[-1]])) == 1
@@ -191,13 +193,62 @@ def test_history_over_segments(spark):
 def test_merkle_finds_only_what_changed(spark):
     a = spark.range(5000).select((F.col("id") % 500).alias("k"), F.col("id").alias("v"))
     b = a.where(F.col("v") != 7).unionByName(spark.createDataFrame([(3, -1), (3, -1), (999, 5)], "k bigint, v bigint"))
-    assert sorted(tuple(r) for r in history.merkle_changes(a, b, ["k"]).collect()) == [(3, -1), (999, 5)]
+    assert sorted(tuple(r) for r in history.merkle_changes(a, b, ["k"]).collect()) == [(3, -1, "new"), (999, 5, "new")]
+    c = a.where(F.col("k") != 17)
+    assert {tuple(r) for r in history.merkle_changes(a, c, ["k"]).select("k", "change").collect()} == {(17, "gone")}
     assert history.merkle_changes(a, a, ["k"]).count() == 0
     assert history.merkle_changes(a.limit(0), a, ["k"]).count() == 5000
-    leaves = history.changed_leaves(history._digested(a, ["k"], history.LEVELS), history._digested(b, ["k"], history.LEVELS))
+    levels = (4, 4, 4)
+    leaves = history.changed_leaves(history._digested(a, ["k"], levels), history._digested(b, ["k"], levels), levels)
     assert 0 < leaves.count() <= 3
 
 
+def test_snapshots_read_changed_branches_alone(spark):
+    a = spark.range(20000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("string").alias("v"))
+    b = a.where(F.col("k") != 5).withColumn("v", F.when(F.col("k") == 77, "new").otherwise(F.col("v")))
+    levels = history.levels_for(20000)
+    assert sum(levels) >= 8
+    old, new = (history.Snapshot.write(x, ["k"], levels) for x in (a, b))
+    assert sorted(tuple(r) for r in old.changes(new).collect()) == [(5, "5", "gone"), (77, "new", "new")]
+    leaves = history.descend(history._paired(old.digests, new.digests), levels)
+    assert leaves.count() == 2 and old.changes(old).count() == 0
+    some = old.at(leaves)
+    assert 0 < some.count() < 20000 / 20
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*_branch#\d+ (IN|INSET|=)", plan) and "PushedFilters: [" in plan and re.search(r"PushedFilters: \[[^]]*(In\(_leaf|EqualTo\(_leaf|Or\()", plan), plan
+
+
+def plain_versions(rows):
+    """Versions of (entity, at, stop, value), by one pass over them in order."""
+    out = []
+    rows = sorted(rows)
+    for i, (e, at, stop, value) in enumerate(rows):
+        end = stop if stop is not None and stop > at else None
+        if i + 1 < len(rows) and rows[i + 1][0] == e and (end is None or rows[i + 1][1] < end):
+            end = rows[i + 1][1]
+        if out and out[-1][0] == e and out[-1][2] == at and out[-1][3] == value:
+            out[-1] = (e, out[-1][1], end, value)
+        else:
+            out.append((e, at, end, value))
+    return sorted(out, key=str)
+
+
+def test_versions_of_a_hot_entity_over_partitions(spark):
+    rng = random.Random(3)
+    rows = [("hot", at, rng.choice([None, at + 1, at + 2, at - 5]), rng.choice("aab")) for at in rng.sample(range(30000), 12000)]
+    rows += [("hot" + "x" * (i % 3), 40000 + i, None, "same") for i in range(4000)]
+    rows += [(f"e{i % 50}", i, None, rng.choice(["v", "w"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "e string, at bigint, stop bigint, value string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in ("1", "4", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted((tuple(r) for r in history.versions(df, ["e"], "at", "stop", "value").collect()), key=str) == plain_versions(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_as_of(spark):
     h = spark.createDataFrame([("s", "p", D(1), D(3), "a"), ("s", "p", D(3), "", "b")], "subject string, predicate string, valid_from string, valid_to string, object_value string")
     assert [r.object_value for r in history.as_of(h, F.lit(D(3))).collect()] == ["b"]
