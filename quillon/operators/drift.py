@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.operators.nested import Shape, infer_shape, kind_of, read_object
+from quillon.operators.nested import Shape, infer_shape, kind_of, parsed, read_object
 from quillon.session import materialise
 
 TYPES = ("string", "number", "boolean", "array")
+BRANCHES = ("string", "integer", "number", "boolean", "array")
 #: Values kept for each path, those with the smallest hashes: a bottom-k sketch, which merges exactly.
 SKETCH = 64
 
@@ -105,7 +106,7 @@ def _sort(text: str) -> str:
     shape = re.sub(r"\d+", "9", shape)
     shape = re.sub(r"(?:a9|9a)[a9]*", "x", shape)
     words = shape.split()
-    return shape[:60] if len(words) < 3 else "words"
+    return shape if len(words) < 3 else "words"
 
 
 def _bin(x: float) -> str:
@@ -127,9 +128,9 @@ def features(value: object) -> list[str]:
         whole = isinstance(value, int) or value.is_integer()
         return [f"s{_bin(float(value) if abs(value) < 1e300 else math.inf)}{'' if whole else '.'}"]
     if kind == "array":
-        inner = value[0] if value else None
-        text = inner if isinstance(inner, str) else kind_of(inner)
-        return ["s" + (_sort(text) if isinstance(inner, str) else text), "v" + text]
+        inner = sorted({x if isinstance(x, str) else "\0" + kind_of(x) for x in value}) or ["\0null"]
+        sorts = sorted({x[1:] if x[0:1] == "\0" else _sort(x) for x in inner})
+        return ["s" + x for x in sorts] + ["v" + x.lstrip("\0") for x in inner]
     return ["s" + _sort(value), "v" + value]
 
 
@@ -139,18 +140,23 @@ _SKETCH = "producer string, file_seq int, path string, kind string, feature bigi
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    held: dict[tuple, Counter] = {}
+    # by path and kind of feature, hash to count. What isn't among the smallest hashes now never will be again, so it can be
+    # dropped whenever there are too many
+    held: dict[tuple, dict[int, int]] = {}
     for batch in batches:
         for producer, seq, paths, text in zip(*(c.to_pylist() for c in batch.columns)):
             value = read_object(text)
             wanted = {(p, t) for p, t in (x.split("\0") for x in paths)}
             for path, item in leaves(value) if value is not None else ():
                 if (path, kind_of(item)) in wanted:
-                    held.setdefault((producer, seq, path), Counter()).update(features(item))
-    rows: list[tuple] = []
-    for key, counts in held.items():
-        hashed = {kind: sorted((xxhash.xxh64_intdigest(f) - (1 << 63), n) for f, n in counts.items() if f[0] == kind) for kind in "sv"}
-        rows += [(*key, kind, h, n) for kind, all_ in hashed.items() for h, n in all_[:SKETCH]]
+                    for f in features(item):
+                        at = (producer, seq, path, f[0])
+                        counts = held.setdefault(at, {})
+                        h = xxhash.xxh64_intdigest(f) - (1 << 63)
+                        counts[h] = counts.get(h, 0) + 1
+                        if len(counts) > 8 * SKETCH:
+                            held[at] = dict(sorted(counts.items())[:SKETCH])
+    rows = [(*key, h, n) for key, counts in held.items() for h, n in sorted(counts.items())[:SKETCH]]
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     columns = list(zip(*rows)) if rows else [()] * len(types)
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in _SKETCH.split(", ")])
@@ -212,6 +218,8 @@ def file_changes(df: DataFrame, share: float = 0.2, least: float = 0.3) -> DataF
     """source_file, change_kind (added, removed, retyped, renamed), old_path, new_path: each change of a file's layout
     from the producer's file numbered one lower. ``share`` is the part of a file's objects that must hold a path,
     ``least`` the likeness from which a removed and an added path count as one renamed."""
+    # a producer that is NULL is one like others, so the joins below take its JSON
+    df = df.withColumn("producer", F.to_json(F.struct("producer")))
     changes = materialise(layout_changes(file_profiles(df), share))
     renamed = materialise(match_renames(rename_scores(df, changes), least))
     at = ["producer", "file_seq"]
@@ -240,27 +248,29 @@ def alternatives(df: DataFrame) -> DataFrame:
 def _open(shape: Shape, prefix: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], Shape]]:
     for name, child in sorted(shape.fields.items()):
         path = (*prefix, name)
-        if child.kinds & set(TYPES):
+        if child.kinds & set(BRANCHES):
             yield path, child
         yield from _open(child, path)
 
 
 def union_table(df: DataFrame, column: str, keys: list[str], shape: Shape | None = None) -> DataFrame:
     """One row for each readable document: ``keys``, then for each path a canonical text column named as the path and,
-    where a path has more than one type, a branch column ``path:type`` for each. Numbers are doubles; lists are JSON
-    text. A document without the path, or with another type, has NULL in the branch. Keys must not be named as paths."""
+    where a path has more than one type, a branch column ``path:type`` for each. Integers are
+    bigints, other numbers doubles; lists are JSON text. A document without the path, or with another type, has NULL in the branch. Keys must not be named as paths."""
     shape = shape or infer_shape(df, column)
-    rows = df.where(F.col(column).rlike(r"^\s*\{") & F.col(column).rlike(r"\}\s*$")).select(*keys, F.try_parse_json(column).alias("_doc")).where(F.col("_doc").isNotNull())
+    some = df.select(*dict.fromkeys([*keys, column])).where(F.col(column).rlike(r"^\s*\{") & F.col(column).rlike(r"\}\s*$"))
+    rows = parsed(some, column).where(F.col("_doc").isNotNull())
     out: list[Column] = []
     for path, child in _open(shape):
         value = F.col("_doc")
         for name in path:
             value = F.try_variant_get(value, "$", "map<string,variant>").getItem(name) if not re.fullmatch(r"[A-Za-z_]\w*", name) else F.try_variant_get(value, f"$.{name}", "variant")
         of = F.schema_of_variant(value)
-        kinds = [t for t in TYPES if t in child.kinds]
+        kinds = [t for t in BRANCHES if t in child.kinds]
         known = {
             "string": (of == "STRING", "string"),
-            "number": ((of == "BIGINT") | (of == "DOUBLE") | F.startswith(of, F.lit("DECIMAL")), "double"),
+            "integer": (of == "BIGINT", "bigint"),
+            "number": (((of == "BIGINT") & F.lit("integer" not in kinds)) | (of == "DOUBLE") | F.startswith(of, F.lit("DECIMAL")), "double"),
             "boolean": (of == "BOOLEAN", "boolean"),
             "array": (F.startswith(of, F.lit("ARRAY")), "string"),
         }

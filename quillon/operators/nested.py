@@ -10,7 +10,10 @@
 
 Only the tables asked for are ever computed. All data sit in ``value``, so no field name can clash with a link column.
 
-Cases: NULL, unreadable and non-object documents give no rows; null elements keep their place but give no row; an object
+Numbers are kept as they are: integers of 64 bits are bigints, others doubles, and a path with both has a branch for each.
+A key that an object repeats counts with its last value. Documents that can't be read are reported by ``rejected``.
+
+Cases: NULL, unreadable (also with NaN or Infinity) and non-object documents give no rows; null elements keep their place but give no row; an object
 found where other records have a list counts as a list of one; equal documents under equal keys are one record;
 an empty input gives empty tables.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCALARS = ("string", "number", "boolean")
+SCALARS = ("string", "integer", "number", "boolean")
 
 
 @dataclass
@@ -61,12 +64,16 @@ def kind_of(value: object) -> str:
     return "array" if isinstance(value, list) else "object"
 
 
+def _not_json(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def read_object(text: str | None) -> dict | None:
-    """The JSON object in ``text``, or None."""
+    """The JSON object in ``text``, or None. NaN and Infinity are no JSON, as for Spark's parser."""
     if not text:
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=_not_json)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -74,7 +81,7 @@ def read_object(text: str | None) -> dict | None:
 
 def _walk(value: object, steps: tuple, seen: set) -> None:
     kind = kind_of(value)
-    seen.add((steps, kind))
+    seen.add((steps, "integer" if kind == "number" and isinstance(value, int) and -(2**63) <= value < 2**63 else kind))
     if kind == "object":
         for k, v in value.items():
             _walk(v, (*steps, k), seen)
@@ -113,6 +120,8 @@ def shape_of(kind: T.DataType) -> Shape:
         return Shape({"object"}, {f.name: shape_of(f.dataType) for f in kind.fields})
     if isinstance(kind, T.ArrayType):
         return Shape({"array"}, element=shape_of(kind.elementType))
+    if isinstance(kind, T.IntegralType):
+        return Shape({"integer"})
     if isinstance(kind, T.NumericType):
         return Shape({"number"})
     return Shape({"boolean" if isinstance(kind, T.BooleanType) else "string"})
@@ -178,6 +187,10 @@ class Tables:
                 out.append(F.when(of == "STRING", F.try_variant_get(value, "$", "string")).alias(name))
             elif kind == "boolean":
                 out.append(F.when(of == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).alias(name))
+            elif kind == "integer":
+                out.append(F.when(of == "BIGINT", F.try_variant_get(value, "$", "bigint")).alias(name))
+            elif "integer" in kinds:
+                out.append(F.when((of == "DOUBLE") | F.startswith(of, F.lit("DECIMAL")), F.try_variant_get(value, "$", "double")).alias(name))
             else:
                 out.append(F.when((of == "BIGINT") | (of == "DOUBLE") | F.startswith(of, F.lit("DECIMAL")), F.try_variant_get(value, "$", "double")).alias(name))
         for name, child in shape.fields.items():
@@ -212,29 +225,51 @@ class Tables:
         return rows.select("_root", "_parent", "_key", F.element_at("_pos", -1).alias("_pos"), F.slice("_pos", F.lit(1), F.size("_pos") - 1).alias("_above"), value.alias("value"))
 
 
-def flatten_json(df: DataFrame, column: str, keys: list[str], shape: Shape | None = None) -> Tables:
-    """Flatten the JSON objects of a text column by their merged schema; ``keys`` name the columns kept as ``_root``."""
+def parsed(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``_doc``, the variant of a JSON text, NULL if it can't be read; of a key that an object repeats the last value counts, as it does when the
+    schema is inferred."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = df.sparkSession.conf.get(name, "false")
+    df.sparkSession.conf.set(name, "true")
+    try:
+        # the setting is part of the expression once it is analysed
+        return df.select("*", F.try_parse_json(F.col(column)).alias("_doc"))
+    finally:
+        df.sparkSession.conf.set(name, before)
+
+
+def rejected(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """keys and reason of the documents that give no rows: 'null', 'not an object' or 'unreadable'."""
+    doc = parsed(df.select(*keys, F.col(column).alias("_text")), "_text")
+    is_object = F.startswith(F.schema_of_variant("_doc"), F.lit("OBJECT"))
+    reason = F.when(F.col("_text").isNull(), "null").when(F.col("_doc").isNull(), "unreadable").when(~is_object, "not an object")
+    return doc.select(*keys, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def flatten_json(df: DataFrame, column: str, keys: list[str], shape: Shape | None = None, distinct: bool = True) -> Tables:
+    """Flatten the JSON objects of a text column by their merged schema; ``keys`` name the columns kept as ``_root``. With ``distinct``
+    equal documents under equal keys are one record, so that ``_key`` is unique; without it they are not looked for."""
     shape = shape or infer_shape(df, column)
-    node = F.try_parse_json(F.col(column))
-    rows = df.where(F.col(column).rlike(r"^\s*\{") & F.col(column).rlike(r"\}\s*$")).select(
-        F.struct(*keys).alias("_root"), F.md5(F.to_json(F.struct(*keys, column))).alias("_key"), F.array().cast("array<int>").alias("_pos"), node.alias("_node")
-    )
+    some = df.select(*dict.fromkeys([*keys, column])).where(F.col(column).rlike(r"^\s*\{") & F.col(column).rlike(r"\}\s*$"))
+    some = some.withColumn("_key", F.md5(F.to_json(F.struct(*some.columns), {"ignoreNullFields": "false"})))
+    some = parsed(some.dropDuplicates(["_key"]) if distinct else some, column)
+    rows = some.select(F.struct(*keys).alias("_root"), "_key", F.array().cast("array<int>").alias("_pos"), F.col("_doc").alias("_node"))
     return Tables(rows.where(F.col("_node").isNotNull()), shape, variant=True)
 
 
-def flatten_columns(df: DataFrame, columns: list[str], keys: list[str]) -> Tables:
-    """Flatten struct and array columns; ``keys`` name the columns kept as ``_root``."""
+def flatten_columns(df: DataFrame, columns: list[str], keys: list[str], distinct: bool = True) -> Tables:
+    """Flatten struct and array columns; ``keys`` name the columns kept as ``_root``; ``distinct`` as for ``flatten_json``."""
     node = F.struct(*columns)
-    rows = df.select(F.struct(*keys).alias("_root"), F.md5(F.to_json(F.struct(*dict.fromkeys([*keys, *columns])))).alias("_key"), F.array().cast("array<int>").alias("_pos"), node.alias("_node"))
-    return Tables(rows, shape_of(T.StructType([df.schema[c] for c in columns])), variant=False)
+    rows = df.select(F.struct(*keys).alias("_root"), F.md5(F.to_json(F.struct(*dict.fromkeys([*keys, *columns])), {"ignoreNullFields": "false"})).alias("_key"), F.array().cast("array<int>").alias("_pos"), node.alias("_node"))
+    return Tables(rows.dropDuplicates(["_key"]) if distinct else rows, shape_of(T.StructType([df.schema[c] for c in columns])), variant=False)
 
 
 def plan_children(plans: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row for each step file, candidate file and evidence source of the two plan tables, each row once:
     plan_id, child_kind, pos, sub_pos, child_value. Null and empty values give no row; a table in whose documents
     none of the paths occurs gives none either."""
-    raw = flatten_json(plans, "payload", ["plan_id"])
-    nested = flatten_columns(evidence, ["candidate_chunks", "candidate_files"], ["plan_id"])
+    raw = flatten_json(plans, "payload", ["plan_id"], distinct=False)
+    nested = flatten_columns(evidence, ["candidate_chunks", "candidate_files"], ["plan_id"], distinct=False)
 
     def rows(tables: Tables, path: str, kind: str, value: list[str], nested_in: bool = False) -> list[DataFrame]:
         if path not in tables.paths:

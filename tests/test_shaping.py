@@ -68,10 +68,10 @@ def test_flatten_links_and_branches(spark):
     t = nested.flatten_json(docs, "payload", ["plan_id"])
     assert t.paths == ["", "kids[]", "kids[].toys[]"]
     root, kids, toys = t.table(""), t.table("kids[]"), t.table("kids[].toys[]")
-    assert set(root.select("value.*").columns) == {"a:string", "a:number"}
+    assert set(root.select("value.*").columns) == {"a:string", "a:integer"}
     assert kids.join(root.select("_key"), kids._parent == root._key).count() == 3
     rows = toys.join(kids.select(F.col("_key").alias("k"), F.col("_pos").alias("p")), F.col("_parent") == F.col("k")).select("_pos", "p", "value.*").orderBy("_pos").collect()
-    assert [(r._pos, r.p, r["item:number"], r["item:string"]) for r in rows] == [(0, 0, 1.0, None), (1, 0, None, "two")]
+    assert [(r._pos, r.p, r["item:integer"], r["item:string"]) for r in rows] == [(0, 0, 1, None), (1, 0, None, "two")]
 
 
 def test_too_many_paths_is_an_error(spark):
@@ -114,7 +114,7 @@ def test_drift_of_dirty_files(spark):
 def test_union_table_and_alternatives(spark):
     df = plans(spark, [{"a": 1, "b": [1]}, {"a": "x", "c": {"d": True}}, "bad", None])
     rows = {r.plan_id: r.asDict() for r in drift.union_table(df, "payload", ["plan_id"]).collect()}
-    assert rows[0] == {"plan_id": 0, "a": "1", "a:string": None, "a:number": 1.0, "b": "[1]", "c.d": None}
+    assert rows[0] == {"plan_id": 0, "a": "1", "a:string": None, "a:integer": 1, "b": "[1]", "c.d": None}
     assert rows[1]["a:string"] == "x" and rows[1]["c.d"] == "true"
     alt = {(r.path, r.type): r.n_values for r in drift.alternatives(df).collect()}
     assert alt == {("a", "number"): 1, ("a", "string"): 1, ("b", "array"): 1, ("c.d", "boolean"): 1}
@@ -252,3 +252,22 @@ def test_versions_of_a_hot_entity_over_partitions(spark):
 def test_as_of(spark):
     h = spark.createDataFrame([("s", "p", D(1), D(3), "a"), ("s", "p", D(3), "", "b")], "subject string, predicate string, valid_from string, valid_to string, object_value string")
     assert [r.object_value for r in history.as_of(h, F.lit(D(3))).collect()] == ["b"]
+
+
+def test_numbers_and_repeated_keys_are_kept(spark):
+    big = 9007199254740993
+    texts = [f'{{"a": [{{"n": {big}}}], "a": [{{"n": {big + 2}}}]}}', '{"a": [{"n": 1.5}]}', '{"a": NaN}', "[1]", "{broken", None, '{"a": [{"n": 1.5}]}']
+    df = spark.createDataFrame([(i % 6, t) for i, t in enumerate(texts)], "id int, payload string")
+    df = df.withColumn("id", F.when(F.col("id") == 0, F.when(F.col("payload").contains("1.5"), 1).otherwise(0)).otherwise(F.col("id")))
+    tables = nested.flatten_json(df, "payload", ["id"])
+    rows = tables.table("a[]").select("_root.id", "_key", "value.*").collect()
+    assert sorted((r.id, r["n:integer"], r["n:number"]) for r in rows) == [(0, big + 2, None), (1, None, 1.5)]
+    roots = [r._key for r in tables.table().collect()]
+    assert len(roots) == len(set(roots)) == 2
+    assert sorted(tuple(r) for r in nested.rejected(df, "payload", ["id"]).collect()) == [(2, "unreadable"), (3, "not an object"), (4, "unreadable"), (5, "null")]
+
+
+def test_sorts_of_long_and_mixed_values():
+    long = "-".join(["ab"] * 40)
+    assert drift.features(long + "-1") != drift.features(long + "-x") and drift._sort(long + "-1") != drift._sort(long + "-x")
+    assert set(drift.features(["abc", 1, None])) == {"sa", "snumber", "snull", "vabc", "vnumber", "vnull"}
