@@ -329,3 +329,12 @@ def budget_prefix(df: DataFrame, key: str, tokens: str, budget: int) -> DataFram
     running = F.sum(tokens).over(W.orderBy(*order(key)).rowsBetween(W.unboundedPreceding, 0))
     return df.orderBy(*order(key)).limit(max(1, budget)).withColumn("running", running).where(F.col("running") <= budget).select(key, "score", F.col("running").cast("bigint").alias("running"))
 
+
+
+def symbol_score(files: DataFrame, terms: list[str]) -> DataFrame:
+    """path, symbol: the best of a file's symbols, 2 for one that is a term and 1 for one that contains it, over all terms. Files
+    without symbols have no row."""
+    rows = files.select("path", F.explode("symbols").alias("_s"))
+    x = ascii_lower(text("_s"))
+    each = [F.when(x == t, 2.0).when(F.contains(x, F.lit(t)), 1.0).otherwise(0.0) for t in terms]
+    return rows.groupBy("path").agg(F.max(F.greatest(F.lit(0.0), *each)).alias("symbol"))

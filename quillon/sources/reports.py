@@ -14,29 +14,34 @@ DEFINITION_BITS = 0x1 | 0x40
 _SCIP = "documents array<struct<relative_path:string,symbols:array<struct<symbol:string>>,occurrences:array<struct<symbol:string,symbol_roles:int>>>>"
 
 
-def scip_edges(spark: SparkSession, path: str) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Files of one JSON document each, or with ``lines`` of one on each line, as shards of a report are best written."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def scip_edges(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """src, dst, weight of a symbol index in JSON: files that use a symbol to files that define it (role bits 0x1 and 0x40),
     counted; no loops."""
-    docs = spark.read.schema(_SCIP).option("multiLine", True).json(path).select(F.explode("documents").alias("d"))
+    docs = _json(spark, path, _SCIP, lines).select(F.explode("documents").alias("d"))
     uses = docs.select(F.col("d.relative_path").alias("path"), F.explode("d.occurrences").alias("o")).select("path", "o.symbol", (F.coalesce("o.symbol_roles", F.lit(0)).bitwiseAND(DEFINITION_BITS) != 0).alias("defines"))
     defs = uses.where("defines").select("symbol", F.col("path").alias("dst")).distinct()
     return uses.where(~F.col("defines")).join(defs, "symbol").where(F.col("path") != F.col("dst")).groupBy(F.col("path").alias("src"), "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def edge_list(spark: SparkSession, path: str) -> DataFrame:
+def edge_list(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """src, dst, weight of the plain edge-list forms: ``edges`` of objects with source or from, target or to, and weight."""
-    raw = spark.read.schema("edges array<struct<source:string,from:string,target:string,to:string,weight:double>>").option("multiLine", True).json(path)
+    raw = _json(spark, path, "edges array<struct<source:string,from:string,target:string,to:string,weight:double>>", lines)
     e = raw.select(F.explode("edges").alias("e"))
     out = e.select(F.coalesce("e.source", "e.from").alias("src"), F.coalesce("e.target", "e.to").alias("dst"), F.coalesce("e.weight", F.lit(1.0)).alias("weight"))
     return out.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst")))
 
 
-def load_symbol_index(spark: SparkSession, path: str, provider: str = "auto") -> DataFrame:
+def load_symbol_index(spark: SparkSession, path: str, provider: str = "auto", lines: bool = False) -> DataFrame:
     """Edges of a symbol index; ``auto`` looks which top-level field the file has."""
     if provider == "auto":
-        fields = spark.read.option("multiLine", True).json(path).columns
+        fields = spark.read.option("multiLine", not lines).json(path).columns
         provider = "scip" if "documents" in fields else "edges"
-    return scip_edges(spark, path) if provider == "scip" else edge_list(spark, path)
+    return scip_edges(spark, path, lines) if provider == "scip" else edge_list(spark, path, lines)
 
 
 _CASE = "_classname string, _name string, _file string, _line int, failure struct<_message:string,_VALUE:string>, error struct<_message:string,_VALUE:string>"
@@ -57,22 +62,22 @@ def stack_frames(cases: DataFrame) -> DataFrame:
     return x.select(F.coalesce(F.nullif(F.regexp_extract("x", r'File "([^"]+)"', 1), F.lit("")), F.regexp_extract("x", r"^(.+):\d+$", 1)).alias("path"), F.regexp_extract("x", r"(\d+)$", 1).cast("int").alias("line"))
 
 
-def failed_tests(spark: SparkSession, path: str) -> DataFrame:
+def failed_tests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """name, path, line of failed tests in JSON lists ``failures`` or ``failed_tests``."""
     entry = "array<struct<name:string,path:string,file:string,line:int>>"
-    raw = spark.read.schema(f"failures {entry}, failed_tests {entry}").option("multiLine", True).json(path)
+    raw = _json(spark, path, f"failures {entry}, failed_tests {entry}", lines)
     return raw.select(F.explode(F.concat(F.coalesce("failures", F.array().cast(entry)), F.coalesce("failed_tests", F.array().cast(entry)))).alias("t")).select("t.name", F.coalesce("t.path", "t.file").alias("path"), "t.line")
 
 
-def coverage(spark: SparkSession, path: str) -> DataFrame:
+def coverage(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """path, line of the executed lines of a coverage report in JSON, each once."""
-    raw = spark.read.schema("files map<string,struct<executed_lines:array<int>>>").option("multiLine", True).json(path)
+    raw = _json(spark, path, "files map<string,struct<executed_lines:array<int>>>", lines)
     return raw.select(F.explode("files").alias("path", "f")).select("path", F.explode("f.executed_lines").alias("line")).distinct()
 
 
-def fault_scores(spark: SparkSession, path: str, metric: str = "ochiai") -> DataFrame:
+def fault_scores(spark: SparkSession, path: str, metric: str = "ochiai", lines: bool = False) -> DataFrame:
     """path, line, score of spectra in JSON: a list of rows with path, line, ef, ep, nf."""
-    raw = spark.read.schema("path string, line int, ef double, ep double, nf double").option("multiLine", True).json(path)
+    raw = _json(spark, path, "path string, line int, ef double, ep double, nf double", lines)
     return raw.select("path", "line", F.round(sbfl(F.col("ef"), F.col("ep"), F.col("nf"), metric), 6).alias("score"))
 
 
@@ -97,9 +102,9 @@ def worktree(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("files"), F.coalesce(F.sum("adds"), F.lit(0)).alias("additions"), F.coalesce(F.sum("dels"), F.lit(0)).alias("deletions"), F.count_if(F.col("status") == "??").alias("untracked"))
 
 
-def baseline_metrics(spark: SparkSession, path: str) -> DataFrame:
+def baseline_metrics(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """metric, value of the numbers under ``metrics`` in a results file."""
-    raw = spark.read.schema("metrics map<string,double>").option("multiLine", True).json(path)
+    raw = _json(spark, path, "metrics map<string,double>", lines)
     return raw.select(F.explode("metrics").alias("metric", "value")).where(F.col("value").isNotNull())
 
 

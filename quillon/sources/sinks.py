@@ -14,14 +14,18 @@ def write_table(df: DataFrame, path: str) -> str:
     return path
 
 
+# Times with all six digits of a second; Spark's default would cut three of them.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Rows appended as JSON lines."""
-    df.write.mode("append").json(path)
+    df.write.options(**_TIMES).mode("append").json(path)
 
 
 def stream_log(df: DataFrame, path: str, checkpoint: str):
     """A stream appended as JSON lines, exactly once by its checkpoint."""
-    return df.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return df.writeStream.format("json").options(**_TIMES).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def table_fingerprint(df: DataFrame, name: str, digest: str) -> str:
