@@ -118,7 +118,7 @@ def coverage(df: DataFrame, terms: list[str]) -> DataFrame:
     """``path`` and ``coverage``: of the terms the share found, as a token 1, within other text one half."""
     empty = F.array().cast("array<string>")
     blob = ascii_lower(F.concat_ws(" ", text("path"), text("module"), F.coalesce("symbols", empty), F.coalesce("imports", empty)))
-    tokens = code_tokens(blob, limit=512)
+    tokens = code_tokens(blob, limit=None)
     found = [F.when(F.array_contains(tokens, q), 1.0).when(F.contains(blob, F.lit(q)), 0.5).otherwise(0.0) for q in terms]
     return df.select("path", F.least(F.lit(1.0), total(found) / max(1, len(terms))).alias("coverage"))
 

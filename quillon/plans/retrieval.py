@@ -79,7 +79,11 @@ def bm25_two_stage(spark: SparkSession, folder: str) -> DataFrame:
     return R.bm25_two_stage(files(spark, folder), FILE_TERMS, 10)
 
 
-@registry.query()
+_COVERAGE_SQL = " + ".join(f"CASE WHEN regexp_matches(b, '(^|[^a-z]){q}([^a-z]|$)') THEN 1.0 WHEN contains(b, '{q}') THEN 0.5 ELSE 0 END" for q in FILE_TERMS)
+
+
+@registry.query(f"""WITH {FILES_SQL}, x AS (SELECT path, {low("concat_ws(' ', path, module, array_to_string(symbols, ' '), array_to_string(imports, ' '))")} AS b FROM files)
+  SELECT path, CAST(least(1.0, ({_COVERAGE_SQL}) / {len(FILE_TERMS)}) AS DOUBLE) AS coverage FROM x""")
 def term_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return R.coverage(files(spark, folder), FILE_TERMS)
 
@@ -218,26 +222,15 @@ def skill_routing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-@registry.query(f"""WITH {FILES_SQL}, s AS (SELECT module, max(len(symbols)) AS score FROM files WHERE starts_with(path, 'src/') GROUP BY 1 HAVING max(len(symbols)) > 0),
-  o AS (SELECT DISTINCT replace(regexp_replace(path, '\\.[a-z]+$', ''), 'src/', '') AS p FROM files WHERE starts_with(path, 'src/') OR starts_with(path, 'lib/')), m AS (SELECT DISTINCT replace(p, '/', '.') AS module FROM o)
+@registry.query(f"""WITH {FILES_SQL}, s AS (SELECT module, max(len(symbols)) AS score FROM files GROUP BY 1 HAVING max(len(symbols)) > 0),
+  o AS (SELECT DISTINCT replace(regexp_replace(path, '\\.[a-z]+$', ''), 'src/', '') AS p FROM files), m AS (SELECT DISTINCT replace(p, '/', '.') AS module FROM o)
   SELECT m.module, CAST(coalesce((SELECT max(score) FROM s WHERE s.module = m.module), (SELECT max(score) FROM s WHERE ends_with('.' || s.module, '.' || m.module) OR ends_with('.' || m.module, '.' || s.module)), 0) AS DOUBLE) AS match FROM m""")
 def module_suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    """Modules under src/ scored, those under src/ and lib/ matched, as its SQL states; **module_suffixes_all** takes all files."""
+    """The modules of all files, by which the names of all files without ``src/`` are scored."""
     f = files(spark, folder)
-    return _suffixes(f.where(F.col("path").startswith("src/") | F.col("path").startswith("lib/")), f.where(F.col("path").startswith("src/")))
-
-
-def _suffixes(left: DataFrame, scored: DataFrame) -> DataFrame:
-    scores = scored.groupBy("module").agg(F.max(F.size("symbols")).cast("double").alias("score")).where(F.col("score") > 0)
+    scores = f.groupBy("module").agg(F.max(F.size("symbols")).cast("double").alias("score")).where(F.col("score") > 0)
     module = F.translate(F.replace(F.regexp_replace("path", r"\.[a-z]+$", ""), F.lit("src/"), F.lit("")), "/", ".")
-    return R.suffix_score(left.select(module.alias("module")), scores)
-
-
-@registry.query()
-def module_suffixes_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All files on both sides."""
-    f = files(spark, folder)
-    return _suffixes(f, f)
+    return R.suffix_score(f.select(module.alias("module")), scores)
 
 
 @registry.query(f"WITH {PARTS_SQL}, h AS (SELECT * FROM parts ORDER BY price DESC, p_partkey LIMIT 64) SELECT p_partkey, round(price + 3.0 * ln(1 + qty) / ln(1 + max(qty) OVER ()) + 1.0 * ln(1 + orders) / ln(1 + max(orders) OVER ()), 6) AS score, true AS in_pool FROM h UNION ALL SELECT p_partkey, round(price, 6), false FROM parts WHERE p_partkey NOT IN (SELECT p_partkey FROM h)")
@@ -254,7 +247,8 @@ def budget_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return R.budget_prefix(docs, "doc_id", "n", 20000)
 
 
-@registry.query()
+@registry.query(f"""WITH t AS (SELECT path, score FROM ({_heuristic_sql(FILE_TERMS)}) ORDER BY score DESC, path LIMIT 20), pins AS (SELECT * FROM (VALUES ('src/pinned.py', 0), ('docs/pinned.md', 1)) v(path, focus)), peak AS (SELECT coalesce(max(score), 0) AS top FROM t)
+  SELECT path, CASE WHEN focus IS NOT NULL THEN top + 1 - focus * 0.001 ELSE score END AS score, CAST(focus AS INT) AS focus FROM t FULL JOIN pins USING (path), peak""")
 def focused(spark: SparkSession, folder: str) -> DataFrame:
     ranked = R.top(heuristic_files(spark, folder), "path", 20).select("path", "score")
     return R.focus(ranked, "path", ["src/pinned.py", "docs/pinned.md"])

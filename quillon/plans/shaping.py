@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import drift, history, nested
+from quillon.plans.adapters import micros_sql as _micros
 from quillon.plans.registry import Registry
 from quillon.sources.tables import load
 
@@ -60,6 +61,33 @@ def p1_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return tables.table("candidate_chunks[]").select("_root.plan_id", "_parent", "_key", "_pos", "value.*")
 
 
+@registry.query("""
+WITH c AS (SELECT DISTINCT plan_id, candidate_chunks, candidate_files FROM evidence_plans), chunk AS (
+  SELECT rid, pos, e FROM (SELECT row_number() OVER () AS rid, unnest(candidate_chunks) AS e, generate_subscripts(candidate_chunks, 1) - 1 AS pos FROM c)
+  WHERE e IS NOT NULL
+), source AS (SELECT rid, pos, unnest(e.evidence.sources) AS s FROM chunk)
+SELECT 'candidate_chunks[]' AS child, count(*) AS rows, (SELECT count(*) FROM c WHERE len(list_filter(candidate_chunks, lambda x: x IS NOT NULL)) > 0) AS parents, 0 AS orphans FROM chunk
+UNION ALL SELECT 'candidate_chunks[].evidence.sources[]', count(*) FILTER (WHERE s IS NOT NULL), (SELECT count(*) FROM chunk WHERE len(list_filter(e.evidence.sources, lambda x: x IS NOT NULL)) > 0), 0 FROM source
+UNION ALL SELECT 'candidate_files[]', coalesce(sum(len(list_filter(candidate_files, lambda x: x IS NOT NULL))), 0)::BIGINT, count(*) FILTER (WHERE len(list_filter(candidate_files, lambda x: x IS NOT NULL)) > 0), 0 FROM c
+""")
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each child table of evidence_plans the rows, the distinct parents, and the rows whose parent isn't there."""
+    tables = nested.flatten_columns(load(spark, folder, "evidence_plans"), ["candidate_chunks", "candidate_files"], ["plan_id"])
+    out = None
+    for child, above in (("candidate_chunks[]", ""), ("candidate_chunks[].evidence.sources[]", "candidate_chunks[]"), ("candidate_files[]", "")):
+        keys = tables.table(above).select(F.col("_key").alias("_parent"), F.lit(1).alias("known"))
+        rows = tables.table(child).join(keys, "_parent", "left")
+        one = rows.agg(F.lit(child).alias("child"), F.count("*").alias("rows"), F.count_distinct("_parent").alias("parents"), F.count_if(F.col("known").isNull()).cast("int").alias("orphans"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@registry.query("SELECT plan_id, source_file, CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'unreadable' ELSE 'not an object' END AS reason FROM plan_records WHERE payload IS NULL OR NOT json_valid(payload) OR json_type(payload) <> 'OBJECT'")
+def p1_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The payloads that give no rows, with the reason."""
+    return nested.rejected(load(spark, folder, "plan_records"), "payload", ["plan_id", "source_file"])
+
+
 @registry.query()
 def p1_steps(spark: SparkSession, folder: str) -> DataFrame:
     """The child table of source_plan.steps with its link columns and typed branches."""
@@ -85,14 +113,6 @@ def p2_alternatives(spark: SparkSession, folder: str) -> DataFrame:
     return drift.alternatives(load(spark, folder, "plan_records"))
 
 
-def _micros(column: str) -> str:
-    stamp = r"'^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$'"
-    return f"""CASE WHEN regexp_matches(trim({column}), '^\\d{{1,12}}$') THEN CAST(trim({column}) AS BIGINT) * 1000000
-      WHEN regexp_matches(trim({column}), {stamp}) THEN
-        epoch_us(TRY_CAST(CASE WHEN regexp_matches(trim({column}), '(Z|[+-]\\d{{2}}:\\d{{2}})$') AND length(trim({column})) > 10
-          THEN replace(trim({column}), 'Z', '+00:00') ELSE trim({column}) || CASE WHEN length(trim({column})) = 10 THEN ' 00:00:00+00:00' ELSE '+00:00' END END AS TIMESTAMPTZ)) END"""
-
-
 P5_SQL = f"""
 WITH read AS (
   SELECT subject, predicate, coalesce({_micros("valid_from")}, {_micros("as_of")}) AS start,

@@ -81,7 +81,7 @@ def test_whole_trade_graph(spark):
     nodes, edges = trade(spark, SMALL)
     nodes, pairs = [r.node for r in nodes.collect()], [(r.src, r.dst) for r in edges.collect()]
     assert any(a > b for a, b in pairs)
-    got = {r.node: r.centrality for r in entry.queries()["import_depth_all"](spark, SMALL).collect()}
+    got = {r.node: r.centrality for r in entry.queries()["import_depth"](spark, SMALL).collect()}
     assert got == pytest.approx(_centrality(nodes, pairs), abs=2e-6)
     near = {}
     for s in (1, 2):
@@ -89,7 +89,7 @@ def test_whole_trade_graph(spark):
             if d <= 2 and n not in (1, 2):
                 near[n] = min(d, near.get(n, 9))
     want = sorted(near.items(), key=lambda x: (x[1], x[0]))[:6]
-    assert [tuple(r) for r in entry.queries()["neighbour_expansion_all"](spark, SMALL).collect()] == want
+    assert [tuple(r) for r in entry.queries()["neighbour_expansion"](spark, SMALL).collect()] == want
 
 
 def test_module_suffixes_of_all_files(spark):
@@ -103,7 +103,7 @@ def test_module_suffixes_of_all_files(spark):
         m = re.sub(r"\.[a-z]+$", "", r.path, count=1).replace("src/", "").replace("/", ".")
         ends = [v for k, v in scores.items() if f".{k}".endswith(f".{m}") or f".{m}".endswith(f".{k}")]
         want[m] = float(scores.get(m, max(ends, default=0)))
-    got = entry.queries()["module_suffixes_all"](spark, SMALL).collect()
+    got = entry.queries()["module_suffixes"](spark, SMALL).collect()
     assert {r.module: r.match for r in got} == want and len(got) == len(want)
     assert any(r.match > 0 for r in got if r.module.startswith(("pkg.", "docs.", "tests.")))
 
