@@ -18,12 +18,12 @@ from quillon.session import materialise
 DAMPING = 0.85
 
 
-def _step(nodes: DataFrame, ranks: DataFrame, edges: DataFrame, base: Column, sink: Column) -> DataFrame:
-    """One round: base plus the damped rank along the edges plus the share of nodes without out-edges."""
-    flow = edges.join(ranks, edges.src == ranks.node).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
-    lost = ranks.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
+def _step(nodes: DataFrame, ranks: DataFrame, edges: DataFrame, base: Column, spread: Column) -> DataFrame:
+    """One round: base plus the damped rank along the edges plus the share of nodes without out-edges (``sink``)."""
+    flow = edges.join(ranks.select("node", "rank"), edges.src == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
+    lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).scalar()
     joined = nodes.join(flow, nodes.node == flow.dst, "left").withColumn("_lost", lost)
-    return joined.select("node", "seed", (base + DAMPING * F.coalesce("flow", F.lit(0.0)) + DAMPING * F.col("_lost") * sink).alias("rank"))
+    return joined.select("node", "seed", "sink", (base + DAMPING * F.coalesce("flow", F.lit(0.0)) + DAMPING * F.col("_lost") * spread).alias("rank"))
 
 
 def _parts(edges: DataFrame, weight: bool) -> DataFrame:
@@ -33,13 +33,14 @@ def _parts(edges: DataFrame, weight: bool) -> DataFrame:
     return sums.join(out, "src").select("src", "dst", (w / F.col("out")).alias("part"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 12, weighted: bool = False, seeds: list | None = None, normalise: bool = False, every: int = 4) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 12, weighted: bool = False, seeds: list | None = None, normalise: bool = False) -> DataFrame:
     """node, rank after a fixed number of rounds with damping .85.
 
     Plain: edges count as often as they occur, the rank of nodes without out-edges is spread evenly. ``weighted``: edges
     by their weight. ``seeds``: ranks start at and return to the seeds, each round normalised. ``normalise``: the result
-    adds up to 1. Edges to unknown nodes are dropped; a single node has rank 1; no nodes give no rows. The state is
-    written every ``every`` rounds."""
+    adds up to 1. Edges to unknown nodes are dropped; a single node has rank 1; no nodes give no rows. The edges are
+    put in order of their sources once and stay there, so that a round moves ranks alone; its ranks, which the next
+    needs twice, are written."""
     nodes = nodes.select("node").distinct()
     n = nodes.count()
     if n <= 1:
@@ -48,14 +49,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 12, weighted: boo
     known = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     parts = materialise(_parts(known, weighted))
     seed = F.when(F.col("node").isin(seeds), 1.0 / len(seeds)).otherwise(0.0) if seeds else F.lit(1.0 / n)
-    nodes = materialise(nodes.select("node", seed.alias("seed")))
-    ranks = nodes.select("node", "seed", F.col("seed").alias("rank"))
-    for i in range(rounds):
-        ranks = _step(nodes, ranks, parts, (1 - DAMPING) * F.col("seed"), F.col("seed"))
+    sources = parts.select(F.col("src").alias("node"), F.lit(False).alias("_s")).distinct()
+    nodes = materialise(nodes.join(sources, "node", "left").select("node", seed.alias("seed"), F.coalesce("_s", F.lit(True)).alias("sink")))
+    held = parts.repartition("src").persist()
+    ranks = nodes.withColumn("rank", F.col("seed"))
+    for _ in range(rounds):
+        ranks = materialise(_step(nodes, ranks, held, (1 - DAMPING) * F.col("seed"), F.col("seed")))
         if seeds:
             ranks = ranks.withColumn("rank", F.col("rank") / ranks.agg(F.sum("rank")).scalar())
-        if (i + 1) % every == 0 or i + 1 == rounds:
-            ranks = materialise(ranks)
+    held.unpersist()
     if normalise:
         ranks = ranks.withColumn("rank", F.col("rank") / ranks.agg(F.sum("rank")).scalar())
     return ranks.select("node", "rank")
