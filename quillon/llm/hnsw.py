@@ -26,6 +26,8 @@ SHARD_LIMIT = 8 * SHARD
 PIVOTS = 4096
 #: Vectors of the sample to which the pivots are fitted, in all, and rounds of fitting.
 SAMPLE, ROUNDS = 65_536, 8
+#: Levels of pivots below the first, vectors of a cell's sample to which its pivots are fitted, and rows of a cell in one task.
+DEPTH, CELL_SAMPLE, CELL_ROWS = 2, 16_384, 200_000
 
 
 class Graph:
@@ -320,10 +322,11 @@ def fit(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return middle
 
 
-def pivots(rows: DataFrame, shard: int = SHARD, limit: int = PIVOTS) -> dict[str, np.ndarray]:
-    """Pivots of each space larger than a shard, one for each ``shard`` places, no more than ``limit`` in all, shared out in
+def pivots(rows: DataFrame, shard: int = SHARD, limit: int | None = None) -> dict[str, np.ndarray]:
+    """Pivots of each space larger than a shard, one for each ``shard`` places, no more than ``limit`` (``PIVOTS``) in all, shared out in
     proportion. They are fitted to a fixed random sample (by hash) of 32 vectors for each, at most ``SAMPLE`` in all: that is
     all that reaches the driver. Every vector is indexed, whether in the sample or not."""
+    limit = limit or PIVOTS
     sizes = {r.space: r.n for r in rows.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > shard).orderBy(F.desc("n")).limit(limit // 2).collect()}
     want = {s: -(-n * 3 // (2 * shard)) for s, n in sizes.items()}
     scale = min(1.0, limit / max(1, sum(want.values())))
@@ -367,10 +370,66 @@ def _assign(pivot: dict[str, np.ndarray], margin: float, most: int):
     return run
 
 
+_PLACED = "space string, node bigint, unit binary, shard int"
+
+
+def _split_cells(shard: int, margin: float, most: int):
+    """Rows (cell, n, probe, node, unit) in order of the cell, the sample (probe 1) first: each cell's own pivots are fitted to its
+    sample, and its rows go to their shards below it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, sample, place = None, [], None
+        for batch in batches:
+            names, sizes = batch.column("cell").to_pylist(), batch.column("n").to_pylist()
+            probe = batch.column("probe").to_numpy()
+            start = 0
+            while start < len(names):
+                stop = start
+                while stop < len(names) and names[stop] == names[start] and probe[stop] == probe[start]:
+                    stop += 1
+                if names[start] != name:
+                    name, sample, place = names[start], [], None
+                part = batch.slice(start, stop - start)
+                if probe[start]:
+                    sample.append(_as_matrix(part.column("unit")))
+                else:
+                    if place is None:
+                        found = np.concatenate(sample) if sample else np.zeros((0, 1), np.float32)
+                        k = min(len(found), max(2, -(-sizes[start] * 3 // (2 * shard))))
+                        place = _assign({name: fit(found, k)} if k > 1 else {}, margin, most)
+                    rows = pa.RecordBatch.from_arrays([part.column("cell"), part.column("node"), part.column("unit")], ["space", "node", "unit"])
+                    yield from place(iter([rows]))
+                start = stop
+
+    return run
+
+
+def split_large(placed: DataFrame, shard: int, margin: float, most: int) -> DataFrame:
+    """Shards over the limit split by pivots of their own, level by level, so that a shard's size doesn't grow with the number of
+    vectors. No level's pivots leave the tasks that need them. A cell is spread over as many tasks as its rows need, each of which
+    fits the same pivots to the same sample (by hash, at most ``CELL_SAMPLE`` vectors)."""
+    for _ in range(DEPTH):
+        counts = placed.groupBy("space", "shard").agg(F.count("*").alias("n")).where(F.col("n") > max(SHARD_LIMIT, 2 * shard))
+        if not counts.take(1):
+            break
+        placed, counts = materialise(placed), materialise(counts)
+        large = placed.join(counts, ["space", "shard"]).select(F.to_json(F.struct("space", "shard")).alias("cell"), "n", "node", "unit")
+        tasks = F.ceil(F.col("n") / CELL_ROWS).cast("int")
+        hashed = F.xxhash64("unit", F.lit(5)).cast("double") / F.lit(2.0**64) + 0.5
+        own = large.select("cell", F.pmod(F.xxhash64("node"), tasks).cast("int").alias("task"), "n", F.lit(0).alias("probe"), "node", "unit")
+        some = large.where(hashed < F.least(F.lit(48.0 / shard), F.lit(float(CELL_SAMPLE)) / F.col("n")) + F.lit(64.0) / F.col("n"))
+        probes = some.select("cell", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), "n", F.lit(1).alias("probe"), "node", "unit")
+        ordered = own.unionByName(probes).repartition("cell", "task").sortWithinPartitions("cell", "task", F.desc("probe"), "node")
+        split = ordered.select("cell", "n", "probe", "node", "unit").mapInArrow(_split_cells(shard, margin, most), _PLACED)
+        # a vector near a border was in several cells and may now be in several of their shards
+        placed = placed.join(counts, ["space", "shard"], "left_anti").unionByName(split)
+    return placed
+
+
 _FOUND = "a bigint, b bigint, similarity float"
 
 
-def _graphs(k: int, ef: int, least: float):
+def _graphs(k: int, ef: int, least: float, search: bool = False):
     def answer(table: pa.Table) -> pa.RecordBatch:
         ids = table.column("node").to_numpy()
         x = _as_matrix(table.column("unit"))
@@ -379,6 +438,11 @@ def _graphs(k: int, ef: int, least: float):
         graph = Graph(x[at], ef=ef)
         a, b, s = graph.neighbours(k, least)
         a, b = ids[at[a]], ids[at[b]]
+        if search:
+            found, sims = graph.search(x[at], k + 1)
+            row, col = np.nonzero(found >= 0)
+            a, b = np.concatenate([a, ids[at[row]]]), np.concatenate([b, ids[at[found[row, col]]]])
+            s = np.concatenate([s, sims[row, col]])
         guests = np.flatnonzero(~inside)
         if len(guests):
             found, sims = graph.search(x[guests], k)
@@ -411,13 +475,13 @@ def _graphs(k: int, ef: int, least: float):
     return run
 
 
-def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef: int = 24, margin: float = 0.08, most: int = 4, shard: int = SHARD) -> DataFrame:
+def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef: int = 24, margin: float = 0.08, most: int = 4, shard: int = SHARD, search: bool = False) -> DataFrame:
     """For each row of (vec_id, unit, ``space`` columns) the ``k`` most similar other rows of the same space that the graphs
     find: vec_id_a, vec_id_b, similarity (rows below ``least`` left out). Ties go to the smaller vec_id.
 
     ``ef`` is the breadth of the graph search; a vector goes to the shard of its most similar pivot and to those whose
     pivots are less similar by at most ``margin``, ``most`` in all; ``shard`` is about their mean size. More of each means
-    better recall. Vectors that are exact copies are one node; the copies of a node answer for
+    better recall, and so does ``search``: every vector is then searched for in its shards' finished graphs besides. Vectors that are exact copies are one node; the copies of a node answer for
     each other first, so a node of m copies gives at most ``k`` rows for each copy and no pairs within it beyond that.
 
     Cases: a space of one vector gives no rows; NULL in a space column is a value; an empty input gives no rows."""
@@ -426,8 +490,9 @@ def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef
     members = materialise(rows.select("space", F.md5("unit").alias("digest"), "vec_id").join(copies, ["space", "digest"]).select("node", "vec_id"))
     nodes = rows.join(members.where(F.col("node") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti").withColumnRenamed("vec_id", "node")
     pivot = pivots(nodes, shard)
-    placed = nodes.select("space", "node", "unit").mapInArrow(_assign(pivot, margin, most), "space string, node bigint, unit binary, shard int")
-    # shards over the limit are cut: each piece has its own graph, which the rows of the other pieces search as well
+    placed = nodes.select("space", "node", "unit").mapInArrow(_assign(pivot, margin, most), _PLACED)
+    placed = split_large(placed, shard, margin, most)
+    # shards that are over the limit even so, whose vectors pivots don't tell apart, are cut: each piece has its own graph, which the rows of the other pieces search as well
     counts = placed.groupBy("space", "shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT)
     pieces = counts.select("space", "shard", F.ceil(F.col("n") / SHARD_LIMIT * 2).cast("int").alias("pieces"))
     home = F.coalesce("pieces", F.lit(1))
@@ -435,7 +500,7 @@ def nearest(df: DataFrame, space: list[str], k: int = 3, least: float = -1.0, ef
     spread = placed.join(pieces, ["space", "shard"], "left").withColumn("own", own).withColumn("piece", F.explode(F.sequence(F.lit(0), home - 1)))
     tasks = spread.select(F.xxhash64("space", "shard", "piece").alias("home"), "node", "unit", (F.col("piece") == F.col("own")).alias("inside"))
     width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(len(p) for p in pivot.values()))
-    pairs = tasks.repartition(width, "home").sortWithinPartitions("home", "node").mapInArrow(_graphs(k, ef, least), _FOUND)
+    pairs = tasks.repartition(width, "home").sortWithinPartitions("home", "node").mapInArrow(_graphs(k, ef, least, search), _FOUND)
     # shards' answers merged: what another shard saw from the other side counts for both
     both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "similarity")
     best = materialise(both.groupBy("p.a", "p.b").agg(F.max("similarity").alias("similarity")))

@@ -10,6 +10,7 @@ from compare import compare, duck
 from dirty import make
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, hnsw, packing, quantiles, stuffing
 from quillon.llm.queries import registry
@@ -213,6 +214,27 @@ def test_hot_shards_are_cut(spark, monkeypatch):
     assert recall(found, x, 3) > 0.93
 
 
+@pytest.mark.parametrize("search", [False, True])
+def test_large_shards_are_split_by_their_own_pivots(spark, monkeypatch, search):
+    monkeypatch.setattr(hnsw, "SHARD_LIMIT", 400)
+    monkeypatch.setattr(hnsw, "PIVOTS", 4)
+    monkeypatch.setattr(hnsw, "CELL_ROWS", 500)
+    x = clustered(3000, 16, 8)
+    df = spark.createDataFrame([(i, "s", v.tobytes()) for i, v in enumerate(x)], "vec_id bigint, s string, unit binary")
+    nodes = df.select(F.lit("s").alias("space"), F.col("vec_id").alias("node"), "unit")
+    placed = nodes.mapInArrow(hnsw._assign(hnsw.pivots(nodes, 150), 0.08, 4), hnsw._PLACED)
+    before = placed.groupBy("space", "shard").count().agg(F.max("count")).first()[0]
+    split = hnsw.split_large(placed, 150, 0.08, 4)
+    after = split.groupBy("space", "shard").count().agg(F.max("count")).first()[0]
+    assert before > 400 and after < before / 2 and split.select("node").distinct().count() == 3000
+    found: dict = {}
+    for r in hnsw.nearest(df, ["s"], k=3, shard=150, search=search).collect():
+        found.setdefault(r.vec_id_a, []).append(r.vec_id_b)
+    # the two planted partners of every fifth vector
+    hit = [len(set(found.get(i, ())) & {i + 1, i + 2}) / 2 for i in range(0, 2995, 5)]
+    assert np.mean(hit) > 0.95
+
+
 @pytest.mark.parametrize("text", [None, "", "[1, 2", "[]", "[1]", "[1, null]", '[1, "2"]', "[0, 0]", "[1, true]", "{}", "[1, NaN]", "[1, 1e999]"])
 def test_unusable_vectors(text):
     assert hnsw.read_vector(text, 2) is None
